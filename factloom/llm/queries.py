@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, packing, token_counts, token_output, warc
+from factloom.llm import chat_format, decontaminate, line_dedup, packing, token_counts, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +29,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_archives(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_chat_format, op4_token_output, op5_packing, op9_warc)}
+    return {f.__name__: f for f in (op2_token_counts, op3_chat_format, op4_token_output, op5_packing, op6_decontaminate, op7_line_dedup, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    return {"op3_chat_format": chat_format.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
