@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, decontaminate, line_dedup, packing, token_counts, token_output, warc
+from factloom.llm import ann, chat_format, decontaminate, language_id, line_dedup, packing, token_counts, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", (language_id.split_of(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_archives(table(spark, sf_dir, "pages"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_chat_format, op4_token_output, op5_packing, op6_decontaminate, op7_line_dedup, op9_warc)}
+    return {f.__name__: f for f in (op2_token_counts, op3_chat_format, op4_token_output, op5_packing, op6_decontaminate, op7_line_dedup, op8_language_id, op9_warc, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
