@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, chat_format, decontaminate, language_id, line_dedup, packing, token_counts, token_output, warc
+from factloom.llm import ann, chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, token_counts, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -55,7 +59,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_chat_format, op4_token_output, op5_packing, op6_decontaminate, op7_line_dedup, op8_language_id, op9_warc, op10_ann)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_chat_format, op4_token_output, op5_packing, op6_decontaminate, op7_line_dedup, op8_language_id, op9_warc, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
