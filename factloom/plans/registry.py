@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Modules whose import registers queries.
+MODULES = ("q_select",)
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -47,9 +50,19 @@ def flagship_cube(t: Tables) -> DataFrame:
     return out.filter("n_orders > 1").orderBy(F.desc("n_orders"), "segment", "month").limit(10)
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"factloom.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
