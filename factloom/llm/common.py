@@ -174,3 +174,14 @@ def text_bytes(column):
     body = column.buffers()[2]
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def worker_value(key, make):
+    """make()'s value, kept by the Python worker for its next tasks; another key replaces it."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_factloom_worker", types.ModuleType("_factloom_worker")).__dict__
+    if kept.get("key") != key:
+        kept["key"], kept["value"] = key, make()
+    return kept["value"]

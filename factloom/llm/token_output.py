@@ -29,42 +29,93 @@ MAGIC, FOOTER = b"PLN1", "<QQQQ4s"
 BLOCK = 1 << 16
 PLANES = 4
 
-#: Chunks of a text whose ids a task keeps at once, and the greatest length of one.
-KEPT_CHUNKS, KEPT_LENGTH = 300_000, 64
+#: Chunks of a text whose ids a Python worker keeps, and the greatest length of one.
+KEPT_CHUNKS, KEPT_LENGTH = 250_000, 64
+#: Letters below this are letters for every library; a mark of these after them is a piece of its own.
+LAST_LETTER, MARKS = "\u024f", ".,;:!?"
+
+
+def byte_symbols() -> dict[int, str]:
+    """The printable symbol of each byte in a byte-level vocabulary: printable bytes as they are, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [k for k in range(256) if k not in plain]
+    return {k: chr(k) for k in plain} | {k: chr(256 + i) for i, k in enumerate(rest)}
 
 
 def encoder(tokenizer_json: str, special: tuple[str, ...]):
     """A function from a list of texts to their ids, as bytes of little-endian uint32.
 
     The byte-level splitting pattern takes at most one space before a word and
-    never spans a lone space otherwise, so a text whose spaces stand alone is
-    the sum of its space-led chunks: the library encodes each distinct chunk
-    once. Texts with special strings, or with a space between other white
-    space, go to the library whole.
+    never spans a lone space or newline otherwise, so a text whose spaces stand
+    alone is the sum of its space-led chunks, and the library encodes each
+    distinct chunk once. A chunk of letters, with a mark after them or
+    newlines between, is one piece for the model each, so it goes to the
+    library's model without the splitting. Texts with special strings, or with
+    a space between other white space, go to the library whole.
     """
     import re
 
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer_json)
-    ids = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    model = t.model.tokenize
+    symbols = byte_symbols()
+
+    def ids(texts):
+        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
     odd = re.compile(r"\s \s|" + "|".join(map(re.escape, special)) if special else r"\s \s")
+    marks = dict(zip(MARKS, ids(list(MARKS)), strict=True))
+    newline = ids(["\n"])[0]
+    words: dict[str, bytes] = {}
     kept: dict[str, bytes] = {}
 
+    def letters(word: str) -> bytes:
+        """Ids of letters, with or without a space before them."""
+        found = words.get(word)
+        if found is None:
+            shown = word.replace(" ", symbols[32]) if word.isascii() else word.encode().decode("latin-1").translate(symbols)
+            found = words[word] = struct.pack(f"<{len(x)}I", *[y.id for y in x]) if (x := model(shown)) else b""
+        return found
+
+    def pieces(chunk: str) -> bytes | None:
+        """Ids of a space-led chunk by its pieces; None if it isn't made of letters, marks and newlines between."""
+        out, lead = [], " "
+        for part in chunk.split("\n") if "\n" in chunk else (chunk,):
+            mark = marks.get(part[-1:], b"")
+            word = part[:-1] if mark else part
+            if not word.isalpha() or max(word) > LAST_LETTER:
+                return None
+            out.append(letters(lead + word) + mark)
+            lead = ""
+        return newline.join(out)
+
+    def learn(chunks: list[str]) -> None:
+        alone = []
+        for c in chunks:
+            found = pieces(c) if len(c) <= KEPT_LENGTH else None
+            if found is None:
+                alone.append(c)
+            else:
+                kept[c] = found
+        for a in range(0, len(alone), 1000):
+            part = alone[a : a + 1000]
+            kept.update(zip(part, ids([" " + c for c in part]), strict=True))
+
     def run(texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [b"" if not x else None for x in texts]
-        direct = [k for k, x in enumerate(texts) if x and odd.search(x)]
-        for k, e in zip(direct, ids([texts[k] for k in direct]), strict=True):
-            out[k] = e
+        for k, x in enumerate(texts):
+            if x and odd.search(x):
+                out[k] = ids([x])[0]
         rest = {k: texts[k].split(" ") for k in range(len(texts)) if out[k] is None}
         if len(kept) > KEPT_CHUNKS:
             kept.clear()
-        new = list({c for words in rest.values() for c in words[1:] if c not in kept})
-        for c, e in zip(new, ids([" " + c for c in new]), strict=True):
-            kept[c] = e
-        firsts = ids([words[0] for words in rest.values()])
-        for (k, words), e in zip(rest.items(), firsts, strict=True):
-            out[k] = e + b"".join(map(kept.__getitem__, words[1:]))
+            words.clear()
+        new = list({c for chunks in rest.values() for c in chunks[1:] if c not in kept})
+        learn(new)
+        firsts = ids([chunks[0] for chunks in rest.values()])
+        for (k, chunks), e in zip(rest.items(), firsts, strict=True):
+            out[k] = e + b"".join(map(kept.__getitem__, chunks[1:]))
         for c in new:
             if len(c) > KEPT_LENGTH:
                 del kept[c]
@@ -173,7 +224,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     shared = spark.sparkContext.broadcast((model, special))  # a vocabulary file: bounded
     folder = common.scratch_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    rows = rows.repartitionByRange(2 * common.spread(spark), F.col("_id").asc_nulls_first(), "_tie").sortWithinPartitions(F.col("_id").asc_nulls_first(), "_tie", "_text").select("_id", "_text")
+    rows = rows.repartitionByRange(common.spread(spark), F.col("_id").asc_nulls_first(), "_tie").sortWithinPartitions(F.col("_id").asc_nulls_first(), "_tie", "_text").select("_id", "_text")
 
     def run(batches):
         import uuid
@@ -183,10 +234,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
 
         encode, w, end = None, ShardWriter(), struct.pack("<I", end_id)
         for b in batches:
-            encode = encode or encoder(*shared.value)
+            encode = encode or common.worker_value(shared.value, lambda: encoder(*shared.value))
             names = b.column(0).to_pylist()
-            for a in range(0, len(names), 256):
-                for doc, ids in zip(names[a : a + 256], encode(b.column(1).slice(a, 256).to_pylist()), strict=True):
+            for a in range(0, len(names), 128):
+                for doc, ids in zip(names[a : a + 128], encode(b.column(1).slice(a, 128).to_pylist()), strict=True):
                     w.add(doc, ids + end)
         if w.docs:
             k = TaskContext.get().partitionId()
