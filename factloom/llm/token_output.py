@@ -30,7 +30,11 @@ BLOCK = 1 << 16
 PLANES = 4
 
 #: Chunks of a text whose ids a Python worker keeps, and the greatest length of one.
-KEPT_CHUNKS, KEPT_LENGTH = 250_000, 64
+KEPT_CHUNKS, KEPT_LENGTH = 400_000, 64
+#: White space but the space and the newline (a fixed value: all that Unicode has, and the ASCII separators).
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The byte-level splitting pattern where all characters are ASCII.
+ASCII_PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Letters below this are letters for every library; a mark of these after them is a piece of its own.
 LAST_LETTER, MARKS = "\u024f", ".,;:!?"
 
@@ -49,8 +53,8 @@ def encoder(tokenizer_json: str, special: tuple[str, ...]):
     never spans a lone space or newline otherwise, so a text whose spaces stand
     alone is the sum of its space-led chunks, and the library encodes each
     distinct chunk once. A chunk of letters, with a mark after them or
-    newlines between, is one piece for the model each, so it goes to the
-    library's model without the splitting. Texts with special strings, or with
+    newlines between, or of printable ASCII, is split here by the same pattern and its pieces go to the
+    library's model. Texts with special strings, or with
     a space between other white space, go to the library whole.
     """
     import re
@@ -60,67 +64,96 @@ def encoder(tokenizer_json: str, special: tuple[str, ...]):
     t = Tokenizer.from_str(tokenizer_json)
     model = t.model.tokenize
     symbols = byte_symbols()
+    space = symbols[32]
 
     def ids(texts):
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    odd = re.compile(r"\s \s|" + "|".join(map(re.escape, special)) if special else r"\s \s")
+    between = re.compile(r"\s \s").search
+    ascii_pieces = re.compile(ASCII_PIECES, re.ASCII).findall
+
+    def odd(x: str) -> bool:
+        """Whether a text must go to the library whole."""
+        spaced = "  " in x or "\n \n" in x or any(c in x for c in OTHER_SPACE)
+        return bool(spaced and between(x)) or any(c in x for c in special)
+
     marks = dict(zip(MARKS, ids(list(MARKS)), strict=True))
     newline = ids(["\n"])[0]
-    words: dict[str, bytes] = {}
-    kept: dict[str, bytes] = {}
+    as_bytes = [struct.pack("<I", k) for k in range(t.get_vocab_size())]
 
     def letters(word: str) -> bytes:
         """Ids of letters, with or without a space before them."""
-        found = words.get(word)
+        shown = word.replace(" ", space) if word.isascii() else word.encode().decode("latin-1").translate(symbols)
+        return b"".join([as_bytes[x.id] for x in model(shown)])
+
+    def known(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) <= LAST_LETTER)
+
+    small: dict[str, bytes] = {}
+
+    def piece(shown: str) -> bytes:
+        """Ids of a piece of printable ASCII, whose space is shown as its symbol; short ones are remembered."""
+        found = small.get(shown)
         if found is None:
-            shown = word.replace(" ", symbols[32]) if word.isascii() else word.encode().decode("latin-1").translate(symbols)
-            found = words[word] = struct.pack(f"<{len(x)}I", *[y.id for y in x]) if (x := model(shown)) else b""
+            found = b"".join([as_bytes[x.id] for x in model(shown)])
+            if len(shown) <= 3 and len(small) < 50_000:
+                small[shown] = found
         return found
 
-    def pieces(chunk: str) -> bytes | None:
-        """Ids of a space-led chunk by its pieces; None if it isn't made of letters, marks and newlines between."""
-        out, lead = [], " "
-        for part in chunk.split("\n") if "\n" in chunk else (chunk,):
-            mark = marks.get(part[-1:], b"")
-            word = part[:-1] if mark else part
-            if not word.isalpha() or max(word) > LAST_LETTER:
+    def pieces(chunk: str, lead: str) -> bytes | None:
+        """Ids of a chunk by its pieces; None if only the library can split it."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return letters(lead + chunk)
+            if chunk.isprintable():
+                return b"".join([piece(x.replace(" ", space)) for x in ascii_pieces(lead + chunk)])
+        elif known(chunk):
+            return letters(lead + chunk)
+        else:
+            mark = marks.get(chunk[-1:])
+            if mark is not None and known(chunk[:-1]):
+                return letters(lead + chunk[:-1]) + mark
+        if "\n" not in chunk:
+            return None
+        out = []
+        for part in chunk.split("\n"):
+            found = pieces(part, lead) if part else None
+            if found is None:
                 return None
-            out.append(letters(lead + word) + mark)
+            out.append(found)
             lead = ""
         return newline.join(out)
 
-    def learn(chunks: list[str]) -> None:
-        alone = []
-        for c in chunks:
-            found = pieces(c) if len(c) <= KEPT_LENGTH else None
+    class Kept(dict):
+        """Ids of chunks, with a space before them."""
+
+        def __missing__(self, chunk: str) -> bytes:
+            short = len(chunk) <= KEPT_LENGTH
+            found = pieces(chunk, " ") if short else None
             if found is None:
-                alone.append(c)
-            else:
-                kept[c] = found
-        for a in range(0, len(alone), 1000):
-            part = alone[a : a + 1000]
-            kept.update(zip(part, ids([" " + c for c in part]), strict=True))
+                found = ids([" " + chunk])[0]
+            if short:
+                if len(self) >= KEPT_CHUNKS:
+                    self.clear()
+                self[chunk] = found
+            return found
+
+    kept = Kept()
+    of = kept.__getitem__
 
     def run(texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [b"" if not x else None for x in texts]
-        for k, x in enumerate(texts):
-            if x and odd.search(x):
-                out[k] = ids([x])[0]
-        rest = {k: texts[k].split(" ") for k in range(len(texts)) if out[k] is None}
-        if len(kept) > KEPT_CHUNKS:
-            kept.clear()
-            words.clear()
-        new = list({c for chunks in rest.values() for c in chunks[1:] if c not in kept})
-        learn(new)
-        firsts = ids([chunks[0] for chunks in rest.values()])
-        for (k, chunks), e in zip(rest.items(), firsts, strict=True):
-            out[k] = e + b"".join(map(kept.__getitem__, chunks[1:]))
-        for c in new:
-            if len(c) > KEPT_LENGTH:
-                del kept[c]
+        out: list[bytes] = []
+        for x in texts:
+            if not x:
+                out.append(b"")
+            elif odd(x):
+                out.append(ids([x])[0])
+            else:
+                first, *rest = x.split(" ")
+                out.append((pieces(first, "") or ids([first])[0]) + b"".join(map(of, rest)))
         return out
 
+    run.forget = kept.clear
     return run
 
 
@@ -239,6 +272,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
             for a in range(0, len(names), 128):
                 for doc, ids in zip(names[a : a + 128], encode(b.column(1).slice(a, 128).to_pylist()), strict=True):
                     w.add(doc, ids + end)
+        if encode:
+            encode.forget()  # an idle worker holds no table
         if w.docs:
             k = TaskContext.get().partitionId()
             path = f"{folder}/shard-{k:06d}-{uuid.uuid4().hex[:8]}.pln"
