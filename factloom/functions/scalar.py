@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def fold_case(c: Column) -> Column:
-    """Case fold: upper then lower, which also makes sharp s equal to ss."""
-    return F.lower(F.upper(c))
+    """Case fold: upper then lower, with both sharp s as ss, which the built-in mappings leave as one letter."""
+    return F.lower(F.upper(F.regexp_replace(c, "[\u00df\u1e9e]", "ss")))
 
 
 def bucket_label(c: Column, bounds: list[float]) -> Column:

@@ -46,3 +46,28 @@ def run_to_end(rows: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
 
 def totals_of_stream(spark: SparkSession, path: str) -> DataFrame:
     return run_to_end(user_totals(event_stream(spark, path)), "complete", spark)
+
+
+def late_matches(events: DataFrame, within: str = "1 hour") -> DataFrame:
+    """Stream-stream join: a purchase with the views of its user in the hour before it; state is bounded by the watermarks."""
+    left = events.filter("event_type = 'purchase'").select(F.col("user_id"), F.col("ts").alias("bought"), F.col("event_id").alias("purchase")).withWatermark("bought", "2 hours")
+    right = events.filter("event_type = 'view'").select(F.col("user_id").alias("viewer"), F.col("ts").alias("seen"), F.col("event_id").alias("view")).withWatermark("seen", "2 hours")
+    return left.join(right, F.expr(f"user_id = viewer and seen <= bought and seen > bought - interval {within}")).select("purchase", "view")
+
+
+def running_gap(events: DataFrame) -> DataFrame:
+    """Custom state: the longest time between two events of a user, kept in one row of state a user."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def update(key, batches, state):
+        last, longest, n = state.get if state.exists else (0, 0, 0)
+        stamps = sorted(int(t) for pdf in batches for t in pdf["s"])
+        for t in stamps:
+            longest = max(longest, t - last) if n else 0
+            last, n = max(last, t), n + 1
+        state.update((last, longest, n))
+        yield pd.DataFrame({"user_id": [key[0]], "longest_gap": [longest], "n": [n]})
+
+    rows = events.select("user_id", F.unix_timestamp("ts").alias("s"))
+    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, longest_gap long, n long", "last long, longest long, n long", "update", GroupStateTimeout.NoTimeout)
