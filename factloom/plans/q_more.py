@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
-
 from pyspark.sql import functions as F
 
 from factloom.functions.diff import line_diff
@@ -17,7 +15,7 @@ from factloom.sources.catalog import KINDS, RELATIONS, Catalog, UnknownName
 from factloom.sources.files import walk
 from factloom.sources.kv import KeyValue
 from factloom.sources.revisions import RevisionStore
-from factloom.sources.scratch import cut, shared_root
+from factloom.sources.scratch import cut, scratch_path
 
 
 def cat(t) -> Catalog:
@@ -27,7 +25,7 @@ def cat(t) -> Catalog:
 @query("select * from (values (6, null, 6)) v(files, skipped, readable)")
 def sc1_repository_walk(t):
     """Walk of a tree of text files written here: nothing is skipped, and nothing is dropped silently."""
-    root = f"{shared_root(t.spark)}/factloom-tree-{uuid.uuid4().hex[:12]}"
+    root = scratch_path(t.spark, "tree")
     for k in range(2):
         t.nation.selectExpr("n_name").repartition(3).write.text(f"{root}/d{k}")
     found = walk(t.spark, root).filter(F.col("path").rlike(r"part-[^/]*\.txt$"))
@@ -107,7 +105,7 @@ def sc9_unused_branches(t):
 
 @query("select count(*) as n, sum(length(text))::bigint as chars from documents")
 def sc10_compressed_cache(t):
-    path = f"{shared_root(t.spark)}/factloom-cache-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(t.spark, "cache")
     t.documents.select("doc_id", "text").write.option("compression", "zstd").parquet(path)
     return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.sources.scratch import shared_root
+from factloom.sources.scratch import scratch_path
 
 
 class RevisionStore:
@@ -18,7 +16,7 @@ class RevisionStore:
 
     @classmethod
     def temporary(cls, spark: SparkSession) -> RevisionStore:
-        return cls(spark, f"{shared_root(spark)}/factloom-revisions-{uuid.uuid4().hex[:12]}")
+        return cls(spark, scratch_path(spark, "revisions"))
 
     def _data(self, name: str, rev: int) -> str:
         return f"{self.root}/{name}/rev={rev}"

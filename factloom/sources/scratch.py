@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset and the master is local, as in tests.
-LOCAL = "file:///tmp/checkpoints"
+#: Used only where spark.checkpoint.dir is unset and the master is local, as in tests; removed when Python ends.
+LOCAL = f"/tmp/checkpoints/factloom-local-{os.getpid()}"
 
 
 def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL
+    atexit.register(shutil.rmtree, LOCAL, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{LOCAL}")
+    return f"file://{LOCAL}"
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_root(spark)}/factloom-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """df, written to the shared folder and read again: later steps neither repeat its work nor need its executors."""
-    path = f"{shared_root(df.sparkSession)}/factloom-{what}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's file system, whatever its scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Frames that read them are of no use after it."""
+    delete_path(spark, f"{shared_root(spark)}/factloom-{spark.sparkContext.applicationId}")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.sources.scratch import shared_root
+from factloom.sources.scratch import scratch_path
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +28,7 @@ def user_totals(events: DataFrame) -> DataFrame:
 
 def run_to_end(rows: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
     """Run a stream over all that is there and read what it wrote; each batch lands in its own folder, so a repeated one replaces itself."""
-    out = f"{shared_root(spark)}/factloom-stream-{uuid.uuid4().hex[:12]}"
+    out = scratch_path(spark, "stream")
 
     def write(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={k}")
