@@ -69,10 +69,36 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.count(F.lit(1)).alias("degree"), F.sort_array(F.collect_set("target")).alias("targets"))
 
 
+#: Rows of a cover up to which the driver may hold it.
+SMALL_COVER = 200_000
+
+
 def greedy_cover(covers: DataFrame, max_picks: int = 10_000) -> DataFrame:
-    """Greedy set cover of (chooser, item): (pick, chooser, gain) in order; ties go to the smaller chooser."""
+    """Greedy set cover of (chooser, item): (pick, chooser, gain) in order; ties go to the smaller chooser.
+
+    A cover of SMALL_COVER rows or fewer, which is checked, is solved in one
+    place with a heap of stale gains; a larger one by a job for each pick.
+    """
     spark = covers.sparkSession
     left, picks = cut(covers.select("chooser", "item").distinct(), "cover"), []
+    kind = covers.schema["chooser"].dataType.simpleString()
+    if left.limit(SMALL_COVER + 1).count() <= SMALL_COVER:
+        import heapq
+
+        sets: dict = {}
+        for r in left.toLocalIterator():
+            sets.setdefault(r.chooser, set()).add(r.item)
+        heap, done = [(-len(v), k) for k, v in sets.items()], set()
+        heapq.heapify(heap)
+        while heap and len(picks) < max_picks:
+            stale, chooser = heapq.heappop(heap)
+            gain = len(sets[chooser] - done)
+            if gain == -stale and gain:
+                picks.append((len(picks) + 1, chooser, gain))
+                done |= sets[chooser]
+            elif gain:
+                heapq.heappush(heap, (-gain, chooser))
+        return spark.createDataFrame(picks, f"pick long, chooser {kind}, gain long")
     for k in range(max_picks):
         best = left.groupBy("chooser").agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), "chooser").first()
         if best is None:
@@ -80,7 +106,6 @@ def greedy_cover(covers: DataFrame, max_picks: int = 10_000) -> DataFrame:
         picks.append((k + 1, best.chooser, best.gain))
         done = left.filter(F.col("chooser") == best.chooser).select("item")
         left = cut(left.join(done, "item", "left_anti"), "cover")
-    kind = covers.schema["chooser"].dataType.simpleString()
     return spark.createDataFrame(picks, f"pick long, chooser {kind}, gain long")
 
 

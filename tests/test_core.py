@@ -140,7 +140,10 @@ def test_bfs_cycle(spark):
     assert {(r.node, r.depth) for r in G.bfs(df, start, 8).collect()} == {("b", 1), ("c", 2)}
 
 
-def test_greedy_cover(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_greedy_cover(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(G, "SMALL_COVER", 3)
     covers = {1: {1, 2, 3}, 2: {3, 4}, 3: {4, 5}, 4: {1, 2, 3}, 5: {6}}
     got = G.greedy_cover(spark.createDataFrame([(k, i) for k, v in covers.items() for i in v], "chooser long, item long")).collect()
     assert [(r.chooser, r.gain) for r in got] == [(1, 3), (3, 2), (5, 1)]
