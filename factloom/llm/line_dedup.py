@@ -127,7 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holds them; lines of one document never count against each other, rows of
     one id are one document, and rows without id are one document after all others. A null or
     empty text is one empty line and comes back empty. Row count and other
-    columns stay as they are; an empty table stays empty.
+    columns stay as they are, but columns named n_lines or n_dropped give way; an empty table stays empty.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).alias("_text"))
