@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    return {"op1_ngram_join": ngram_join.ORACLE_SQL, "op3_chat_format": chat_format.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
