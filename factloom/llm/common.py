@@ -2,48 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from factloom.sources.scratch import cut as saved
+from factloom.sources.scratch import delete_path, scratch_path
 
-#: Used only where spark.checkpoint.dir is unset and the master is local, as in tests.
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
+__all__ = ["delete_path", "saved", "scratch_path"]
 
 #: The white space that separates words and is stripped from lines: space and U+0009 to U+000D.
 SPACE_CODES = (9, 10, 11, 12, 13, 32)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", LOCAL_SCRATCH)
-    return LOCAL_SCRATCH
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/factloom-{what}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: a cut of lineage that outlives executors."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder by Spark's file system, whatever its scheme."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def spread(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions of the session, the knob that grows with the input."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -128,7 +98,7 @@ class WordHasher:
         Returns (hash of each word, its start byte, its end byte, number of words before each cut)."""
         n = len(data)
         if n + 1 > self.room:
-            self._grow(1 << (n + 1).bit_length())
+            self._grow(n + 1 + n // 8)
         word = self.is_word[data]
         before = np.zeros(n, bool)
         if n:
@@ -185,3 +155,17 @@ def worker_value(key, make):
     if kept.get("key") != key:
         kept["key"], kept["value"] = key, make()
     return kept["value"]
+
+
+def release() -> None:
+    """Give a task's freed memory back to the system, so that an idle worker holds little."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)

@@ -44,6 +44,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 columns = [[ids.slice(at, to - at).to_pylist()], *([common.pack_u64(x)] for x in (words, delta, counts, order))]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int64())), *(pa.array(c, pa.binary()) for c in columns[1:])], ["doc_ids", "cuts", "terms", "counts", "positions"])
                 at = to
+        common.release()
 
     from pyspark.sql import functions as F
 
@@ -211,6 +212,8 @@ def find_windows(index: DataFrame, benchmark: DataFrame, id_col: str = "doc_id")
                 found = [sorted(x for x in y if x is not None) for y in i]
                 columns = [pa.array(s.doc_ids, pa.int64()), pa.array(np.diff(s.cuts)), pa.array(np.diff(upto[s.cuts])), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_words", "n_hit", "n_items", "items"])
+            del segments, covered, items
+        common.release()
 
     return index.mapInArrow(run, f"`{id_col}` long, {RESULT}")
 

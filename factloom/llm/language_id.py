@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm import common
+
 #: Width of a direction's state, bytes of a window, windows that go through the network together.
 WIDTH, STEPS, TOGETHER = 8, 96, 2048
 #: Bounds of training: documents of each language, languages, windows of a document, rounds, windows of a round.
@@ -201,19 +203,14 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     source = docs.select(id_col, text_col, *keep)
 
     def run(batches):
-        import re
-
         import pyarrow as pa
 
-        from factloom.llm import common
-
-        letter = re.compile(r"[^\W\d_]")
         net = shared.value
         for b in batches:
             column = b.column(1)
             names, scores = [], []
             texts = column.to_pylist()
-            bad = [net is None or t is None or letter.search(t) is None for t in texts]
+            bad = [net is None or t is None or not any(map(str.isalpha, t)) for t in texts]
             for a in range(0, len(texts), 256):
                 if net is None:
                     p = None
@@ -225,6 +222,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                     scores.append(0.0 if no else min(1.0, float(p[k, best])))
             kept = [b.column(2 + k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([b.column(0), *kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, *keep, "lang_pred", "score"])
+        common.release()
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     return source.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in (id_col, *keep)] + ["lang_pred string", "score double"]))
