@@ -65,6 +65,8 @@ def unpack_u64(blob: bytes) -> np.ndarray:
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Bytes that are hashed at once.
+AT_ONCE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -95,27 +97,49 @@ class WordHasher:
     def hashes(self, data: np.ndarray, cuts: np.ndarray):
         """data: the bytes of texts one after another; cuts: where they begin, and the end.
 
-        Returns (hash of each word, its start byte, its end byte, number of words before each cut)."""
+        Returns (hash of each word, its start byte, its end byte, number of words before each cut).
+        Beyond AT_ONCE bytes it goes piece by piece, each ending where a word does."""
+        found, at = [], 0
+        while at < len(data):
+            to = min(len(data), at + AT_ONCE)
+            if to < len(data):
+                gaps = np.flatnonzero(~self.is_word[data[at:to]])
+                to = at + int(gaps[-1]) + 1 if len(gaps) else self._word_end(data, to)
+            inner = cuts[(cuts > at) & (cuts < to)] - at
+            h, starts, ends = self._piece(data[at:to], np.concatenate([[0], inner, [to - at]]))
+            found.append((h, starts + at, ends + at))
+            at = to
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        h, starts, ends = found[0] if len(found) == 1 else [np.concatenate([none[k], *(f[k] for f in found)]) for k in range(3)]
+        return h, starts, ends, np.searchsorted(starts, cuts)
+
+    def _word_end(self, data: np.ndarray, at: int) -> int:
+        """The end of a word that is longer than a piece."""
+        while at < len(data):
+            gaps = np.flatnonzero(~self.is_word[data[at : at + AT_ONCE]])
+            if len(gaps):
+                return at + int(gaps[0])
+            at += AT_ONCE
+        return len(data)
+
+    def _piece(self, data: np.ndarray, cuts: np.ndarray):
         n = len(data)
         if n + 1 > self.room:
             self._grow(n + 1 + n // 8)
         word = self.is_word[data]
         before = np.zeros(n, bool)
-        if n:
-            before[1:] = word[:-1]
-            before[cuts[:-1][cuts[:-1] < n]] = False
+        before[1:] = word[:-1]
+        before[cuts[:-1][cuts[:-1] < n]] = False
         starts = np.flatnonzero(word & ~before)
         after = np.zeros(n, bool)
-        if n:
-            after[:-1] = word[1:]
-            last = cuts[1:] - 1
-            after[last[last >= 0]] = False
+        after[:-1] = word[1:]
+        last = cuts[1:] - 1
+        after[last[last >= 0]] = False
         ends = np.flatnonzero(word & ~after) + 1
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[data] * self.power[:n], out=prefix[1:])
         h = (prefix[ends] - prefix[starts]) * self.inverse[starts]
-        h = mix64(h + (ends - starts).astype(np.uint64))
-        return h, starts, ends, np.searchsorted(starts, cuts)
+        return mix64(h + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def space_words() -> np.ndarray:

@@ -116,29 +116,33 @@ class Network:
         return [dx, du, d_out, d_bias]
 
 
-def windows_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows of STEPS symbols, their document) of texts' bytes; the last window of a text is padded."""
-    sizes = np.diff(cuts)
-    each = -(-sizes // STEPS)
-    owner = np.repeat(np.arange(len(sizes)), each)
+def window_places(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, document) of the windows of texts."""
+    each = -(-np.diff(cuts) // STEPS)
+    owner = np.repeat(np.arange(len(each)), each)
     first = np.concatenate([[0], np.cumsum(each)])
-    start = cuts[:-1][owner] + (np.arange(len(owner)) - first[owner]) * STEPS
+    return cuts[:-1][owner] + (np.arange(len(owner)) - first[owner]) * STEPS, owner
+
+
+def windows_at(data: np.ndarray, ends: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Windows of STEPS symbols from start; past their text's end they are padded."""
+    if not len(start):
+        return np.zeros((0, STEPS), np.int16)
     at = start[:, None] + np.arange(STEPS)
-    inside = at < cuts[1:][owner][:, None]
-    data = data.astype(np.int16) if len(data) else np.zeros(1, np.int16)
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], np.int16(PAD)), owner
+    return np.where(at < ends[:, None], data[np.minimum(at, len(data) - 1)].astype(np.int16), np.int16(PAD))
 
 
 def document_probabilities(net: Network, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Mean probabilities over all positions of each text; rows of no bytes are zero."""
+    """Mean probabilities over all positions of each text; rows of no bytes are zero. TOGETHER windows are in memory at once."""
     total = np.zeros((len(cuts) - 1, len(net.langs)))
-    symbols, owner = windows_of(data, cuts)
-    for a in range(0, len(symbols), TOGETHER):
-        part = symbols[a : a + TOGETHER]
+    start, owner = window_places(cuts)
+    for a in range(0, len(start), TOGETHER):
+        mine = owner[a : a + TOGETHER]
+        part = windows_at(data, cuts[1:][mine], start[a : a + TOGETHER])
         _, p = net.positions(part)
         if (part == PAD).any():
             p *= (part.T != PAD)[..., None]
-        np.add.at(total, owner[a : a + TOGETHER], p.sum(0))
+        np.add.at(total, mine, p.sum(0))
     return total / np.maximum(1, np.diff(cuts))[:, None]
 
 
@@ -152,7 +156,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = SEED) -> Network:
         mine = []
         for text in (t for t, x in zip(texts, labels, strict=True) if x == lang):
             data = np.frombuffer(text, np.uint8)
-            w, _ = windows_of(data, np.array([0, len(data)]))
+            start, _ = window_places(np.array([0, len(data)]))
+            w = windows_at(data, np.full(len(start), len(data)), start)
             mine.append(w[np.sort(rng.permutation(len(w))[:TRAIN_WINDOWS])])
         pools.append(np.concatenate(mine))
     params = [net.x, net.u, net.out, net.bias]

@@ -91,6 +91,21 @@ def test_word_hasher():
     assert [bytes(data[a:z]).decode() for a, z in zip(starts, ends, strict=True)] == ["Ab", "ab", "aB", "cd", "cd", "é", "É"]
 
 
+def test_word_hasher_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abC  \n") for _ in range(rng.randrange(60))) for _ in range(40)] + ["x" * 70, "", "end"]
+    import pyarrow as pa
+
+    data, cuts = common.text_bytes(pa.array(texts))
+    whole = common.WordHasher(common.space_words()).hashes(data, cuts)
+    for size in (1, 5, 16):
+        monkeypatch.setattr(common, "AT_ONCE", size)
+        parts = common.WordHasher(common.space_words(), room=2).hashes(data, cuts)
+        assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    none = common.WordHasher(common.space_words()).hashes(data[:0], np.array([0, 0]))
+    assert [len(x) for x in none] == [0, 0, 0, 2]
+
+
 def test_decontaminate(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcé9") for _ in range(4))
