@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from factloom.llm import common
 
-#: Words of a window, UTF-8 bytes of a segment, words of benchmark items that are searched at once.
-WINDOW, SEGMENT_BYTES, BLOCK_WORDS = 13, 4 << 20, 200_000
+#: Words of a window, UTF-8 bytes and rows of a segment, segments that are searched together, words of benchmark items that are searched at once.
+WINDOW, SEGMENT_BYTES, SLICE_ROWS, TOGETHER, BLOCK_WORDS = 13, 4 << 20, 2048, 4, 200_000
 
 INDEX = "doc_ids array<long>, cuts binary, terms binary, counts binary, positions binary"
 RESULT = "n_words long, n_hit long, n_items long, items array<string>"
@@ -30,7 +30,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         import pyarrow as pa
 
         hasher = common.WordHasher(common.alnum_words())
-        for b in batches:
+        for b in (b.slice(a, SLICE_ROWS) for b in batches for a in range(0, len(b), SLICE_ROWS)):
             ids = b.column(0)
             data, cuts = common.text_bytes(b.column(1))
             at = 0
@@ -196,7 +196,7 @@ def find_windows(index: DataFrame, benchmark: DataFrame, id_col: str = "doc_id")
 
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(a, TOGETHER) for b in batches for a in range(0, len(b), TOGETHER)):
             segments = [Segment.of(*(b.column(c)[k].as_py() for c in range(5))) for k in range(len(b))]
             covered = [np.zeros(s.cuts[-1] + 1, np.int64) for s in segments]
             items = [[set() for _ in s.doc_ids] for s in segments]
