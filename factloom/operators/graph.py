@@ -6,6 +6,8 @@ written to the shared folder, so no lost executor repeats earlier rounds.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,26 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return visited.filter("depth > 0")
 
 
-def closure(edges: DataFrame, max_rounds: int = 32) -> tuple[DataFrame, str]:
-    """(all pairs (source, target) with a path, state): state is "unknown" if rounds ran out first.
+#: Rounds of a closure after which its pairs are written as one table; the delta of each round is written anyway.
+MERGED = 16
+
 
-    Semi-naive: each round joins only the pairs of the round before.
+def closure(edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, str]:
+    """(all pairs (source, target) with a path, state): state is "unknown" if rounds were given and ran out first.
+
+    Semi-naive: each round joins only the pairs of the round before. Without
+    max_rounds it goes on until a round finds nothing, however long the paths.
     """
     edges = cut(edges.select("source", "target").distinct(), "closure")
     known = delta = edges
-    for _ in range(max_rounds):
+    for k in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         step = delta.join(edges.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target")).distinct()
         delta = cut(step.join(known, ["source", "target"], "left_anti"), "closure")
         if delta.isEmpty():
             return known, "exact"
-        known = cut(known.unionByName(delta), "closure")
+        known = known.unionByName(delta)
+        if k % MERGED == 0:
+            known = cut(known, "closure")
     return known, "unknown"
 
 
