@@ -78,42 +78,58 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.count(F.lit(1)).alias("degree"), F.sort_array(F.collect_set("target")).alias("targets"))
 
 
-#: Rows of a cover up to which the driver may hold it.
+#: Rows of a cover that the driver may hold at once.
 SMALL_COVER = 200_000
 
 
-def greedy_cover(covers: DataFrame, max_picks: int = 10_000) -> DataFrame:
-    """Greedy set cover of (chooser, item): (pick, chooser, gain) in order; ties go to the smaller chooser.
+def greedy_cover(covers: DataFrame) -> DataFrame:
+    """Greedy set cover of (chooser, item): (pick, chooser, gain) in order until all is covered; ties go to the smaller chooser.
 
-    A cover of SMALL_COVER rows or fewer, which is checked, is solved in one
-    place with a heap of stale gains; a larger one by a job for each pick.
+    Each round brings the choosers of the largest gains to the driver, in
+    SMALL_COVER rows or fewer, and picks from a heap of stale gains as long as
+    no chooser left behind, whose gain can only have fallen, could come first.
+    A chooser of more rows than that is picked without its rows. Rows without
+    a chooser or an item are no part of the cover.
     """
+    import heapq
+
     spark = covers.sparkSession
-    left, picks = cut(covers.select("chooser", "item").distinct(), "cover"), []
+    left, picks = cut(covers.select("chooser", "item").filter("chooser is not null and item is not null").distinct(), "cover"), []
     kind = covers.schema["chooser"].dataType.simpleString()
-    if left.limit(SMALL_COVER + 1).count() <= SMALL_COVER:
-        import heapq
-
-        sets: dict = {}
-        for r in left.toLocalIterator():
-            sets.setdefault(r.chooser, set()).add(r.item)
-        heap, done = [(-len(v), k) for k, v in sets.items()], set()
-        heapq.heapify(heap)
-        while heap and len(picks) < max_picks:
-            stale, chooser = heapq.heappop(heap)
-            gain = len(sets[chooser] - done)
-            if gain == -stale and gain:
-                picks.append((len(picks) + 1, chooser, gain))
-                done |= sets[chooser]
-            elif gain:
-                heapq.heappush(heap, (-gain, chooser))
-        return spark.createDataFrame(picks, f"pick long, chooser {kind}, gain long")
-    for k in range(max_picks):
-        best = left.groupBy("chooser").agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), "chooser").first()
-        if best is None:
+    while True:
+        gains = left.groupBy("chooser").agg(F.count(F.lit(1)).alias("gain"))
+        best = gains.orderBy(F.desc("gain"), "chooser").limit(SMALL_COVER + 1).collect()
+        if not best:
             break
-        picks.append((k + 1, best.chooser, best.gain))
-        done = left.filter(F.col("chooser") == best.chooser).select("item")
+        size = list(itertools.accumulate(r.gain for r in best))
+        near = sum(n <= SMALL_COVER for n in size)
+        # the first chooser whose rows stay where they are
+        bound = (-best[near].gain, best[near].chooser) if near < len(best) else None
+        if near == 0:
+            picks.append((len(picks) + 1, best[0].chooser, best[0].gain))
+            chosen = [best[0].chooser]
+        else:
+            rows = left
+            if bound:
+                before = (F.col("gain") > -bound[0]) | ((F.col("gain") == -bound[0]) & (F.col("chooser") < F.lit(bound[1])))
+                rows = left.join(gains.filter(before).select("chooser"), "chooser", "left_semi")
+            sets: dict = {}
+            for r in rows.toLocalIterator():
+                sets.setdefault(r.chooser, set()).add(r.item)
+            heap, done, chosen = [(-len(v), k) for k, v in sets.items()], set(), []
+            heapq.heapify(heap)
+            while heap and (bound is None or heap[0] < bound):
+                stale, chooser = heapq.heappop(heap)
+                gain = len(sets[chooser] - done)
+                if gain == -stale:
+                    picks.append((len(picks) + 1, chooser, gain))
+                    chosen.append(chooser)
+                    done |= sets[chooser]
+                elif gain:
+                    heapq.heappush(heap, (-gain, chooser))
+            if bound is None:
+                break
+        done = left.join(spark.createDataFrame([(k,) for k in chosen], f"chooser {kind}"), "chooser", "left_semi").select("item")
         left = cut(left.join(done, "item", "left_anti"), "cover")
     return spark.createDataFrame(picks, f"pick long, chooser {kind}, gain long")
 

@@ -1,7 +1,10 @@
 """Registered queries on inputs that a budget or a cut would leave part of."""
 
+import random
+
 import pytest
 
+from factloom.operators import graph as G
 from factloom.plans import registry
 
 
@@ -32,3 +35,38 @@ def test_closure_of_long_chain(spark, chain_dir, name):
     }[name]
     got = [tuple(r) for r in registry.queries()[name](spark, chain_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def greedy(covers):
+    left, picks = {k: set(v) for k, v in covers.items()}, []
+    while any(left.values()):
+        best = min(left, key=lambda k: (-len(left[k]), k))
+        picks.append((len(picks) + 1, best, len(left[best])))
+        gone = left[best]
+        left = {k: v - gone for k, v in left.items()}
+    return picks
+
+
+def test_cover_of_many_choosers(spark):
+    n = 10_050
+    got = G.greedy_cover(spark.range(n).selectExpr("id as chooser", "id as item"))
+    assert got.count() == n and got.agg({"gain": "sum"}).first()[0] == n
+
+
+@pytest.mark.parametrize(("seed", "held"), [(1, 30), (2, 60), (3, 9)])
+def test_cover_by_parts(spark, monkeypatch, seed, held):
+    monkeypatch.setattr(G, "SMALL_COVER", held)
+    rng = random.Random(seed)
+    covers = {k: {rng.randrange(40) for _ in range(rng.choice([1, 3, 8, 12]))} for k in range(25)}
+    rows = [(k, i) for k, v in covers.items() for i in v] + [(None, 1), (3, None)]
+    assert [tuple(r) for r in G.greedy_cover(spark.createDataFrame(rows, "chooser long, item long")).collect()] == greedy(covers)
+
+
+def test_cover_takes_all_lines(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), rng.randrange(60), float(q)) for q in (1, 2, 50) for _ in range(70)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    covers = {}
+    for s, p, _ in rows:
+        covers.setdefault(s, set()).add(p)
+    assert [tuple(r) for r in registry.queries()["gr10_minimum_test_set"](spark, str(tmp_path)).collect()] == greedy(covers)
