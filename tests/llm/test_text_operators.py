@@ -56,6 +56,17 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_ngram_join_empty_block(spark, monkeypatch):
+    # families of two sets in two or more blocks: in some of them both fall into one block
+    monkeypatch.setattr(ngram_join, "BLOCK_FEATURES", 40)
+    rows = []
+    for k in range(24):
+        text = " ".join(f"w{k}x{j}" for j in range(34))
+        rows += [(2 * k, text), (2 * k + 1, f"{text} end")]
+    got = {tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows)).select("doc_id", "component_id", "n_links").collect()}
+    assert got == {(d, d - d % 2, 1) for d, _ in rows}
+
+
 def test_every_similar_pair_shares_enough_signatures():
     rng, bands = np.random.default_rng(3), ngram_join.Bands(75, 100)
     for _ in range(400):
