@@ -19,8 +19,8 @@ from factloom.llm import common
 
 #: Width of a direction's state, bytes of a window, windows that go through the network together.
 WIDTH, STEPS, TOGETHER = 8, 96, 2048
-#: Bounds of training: documents of each language, languages, windows of a document, rounds, windows of a round.
-TRAIN_DOCS, TRAIN_LANGS, TRAIN_WINDOWS, ROUNDS, ROUND_WINDOWS = 150, 64, 12, 400, 192
+#: Bounds of training: documents of each language, windows of a document, rounds, windows of a round (4 of each language at least).
+TRAIN_DOCS, TRAIN_WINDOWS, ROUNDS, ROUND_WINDOWS = 150, 12, 400, 192
 UNKNOWN = "und"
 SEED = 7
 #: Symbol past the end of a text.
@@ -179,11 +179,11 @@ def train(texts: list[bytes], labels: list[str], seed: int = SEED) -> Network:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network from labelled rows that aren't held out; None if there are none.
 
-    At most TRAIN_DOCS documents of each of at most TRAIN_LANGS languages (the
-    most frequent) are read by the driver: those of smallest hash of the id.
+    All languages are learned. At most TRAIN_DOCS documents of each are read by
+    the driver: those of smallest hash of the id.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (split_of(F.col(id_col)) != 2))
-    langs = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(TRAIN_LANGS).collect()]
+    langs = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()]
     marked = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_h"))
     ids: list = []
     for lang in langs:

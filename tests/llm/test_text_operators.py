@@ -198,6 +198,13 @@ def test_language_gradients():
             assert abs((up - down) / 2e-3 - grad[at]) < 2e-4
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ROUNDS", 2)
+    rows = [(k, f"some text of {k % 70}", f"l{k % 70}") for k in range(560)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.fit(docs).langs) == {f"l{k}" for k in range(70)}
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs, language_id.fit(docs), keep=("lang",)).collect()
