@@ -156,7 +156,7 @@ def gr18_concept_lattice(t):
     """Formal concepts of brands and part types with sizes: closed pairs of extent and intent."""
     from factloom.operators.flow import concepts
 
-    return concepts(t.part.filter("p_size <= 6").select(F.col("p_type").alias("object"), F.concat(F.lit("s"), "p_size").alias("attribute")))
+    return concepts(t.part.select(F.col("p_type").alias("object"), F.concat(F.lit("s"), "p_size").alias("attribute")))
 
 
 @query(f"with recursive {EDGES}, r as (select s_suppkey as node, s_nationkey % 3 as fact from supplier where s_acctbal < 0 union select target, case when target % 5 = 0 then 2 else fact end from r join edges on source = node) select node, fact from r")

@@ -70,3 +70,10 @@ def test_cover_takes_all_lines(spark, tmp_path):
     for s, p, _ in rows:
         covers.setdefault(s, set()).add(p)
     assert [tuple(r) for r in registry.queries()["gr10_minimum_test_set"](spark, str(tmp_path)).collect()] == greedy(covers)
+
+
+def test_lattice_of_all_sizes(spark, tmp_path):
+    rows = [("a", 3), ("a", 40), ("b", 40), ("b", 50)]
+    spark.createDataFrame(rows, "p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(tuple(r.extent), tuple(r.intent)) for r in registry.queries()["gr18_concept_lattice"](spark, str(tmp_path)).collect()}
+    assert got == {((), ("s3", "s40", "s50")), (("a",), ("s3", "s40")), (("b",), ("s40", "s50")), (("a", "b"), ("s40",))}
