@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from factloom.operators import flow
 from factloom.operators import graph as G
 from factloom.plans import registry
 
@@ -77,3 +78,12 @@ def test_lattice_of_all_sizes(spark, tmp_path):
     spark.createDataFrame(rows, "p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {(tuple(r.extent), tuple(r.intent)) for r in registry.queries()["gr18_concept_lattice"](spark, str(tmp_path)).collect()}
     assert got == {((), ("s3", "s40", "s50")), (("a",), ("s3", "s40")), (("b",), ("s40", "s50")), (("a", "b"), ("s40",))}
+
+
+def test_post_dominators_of_all_orders(spark, tmp_path):
+    rows = [(o, n, s) for o in (5, 199, 200, 70_000) for n, s in ((1, 3), (1, 4), (2, 3), (3, 5))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in registry.queries()["gr15_post_dominators"](spark, str(tmp_path)).collect()}
+    edges = [(o, n % 4, n % 4 + 1 + s % 3) for o, n, s in rows]
+    want = {tuple(r) for r in flow.control_dependence(spark.createDataFrame(edges, "function long, source long, target long")).collect()}
+    assert got == want and {r[0] for r in got} == {5, 199, 200, 70_000}
