@@ -14,6 +14,18 @@ __all__ = ["delete_path", "saved", "scratch_path"]
 SPACE_CODES = (9, 10, 11, 12, 13, 32)
 
 
+#: UTF-8 bytes that go to a Python worker at once: both sides hold a batch, and 10,000 long texts would be one.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes of a batch for Python workers to BATCH_BYTES, where they are more or unbounded."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def spread(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions of the session, the knob that grows with the input."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -65,8 +77,8 @@ def unpack_u64(blob: bytes) -> np.ndarray:
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-#: Bytes that are hashed at once.
-AT_ONCE = 4 << 20
+#: Bytes that are hashed at once; a byte takes some 50 bytes of arrays meanwhile.
+AT_ONCE = 512 << 10
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -79,7 +91,7 @@ class WordHasher:
     run of bytes by one subtraction; the base's inverse moves it to position 0.
     """
 
-    def __init__(self, is_word: np.ndarray, room: int = 1 << 20):
+    def __init__(self, is_word: np.ndarray, room: int = AT_ONCE + 1):
         self.is_word = is_word
         self.table = mix64((np.arange(1, 257, dtype=np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
         self.table = self.table[_FOLD]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from factloom.llm import common
 
 #: Words of a window, UTF-8 bytes and rows of a segment, segments that are searched together, words of benchmark items that are searched at once.
-WINDOW, SEGMENT_BYTES, SLICE_ROWS, TOGETHER, BLOCK_WORDS = 13, 4 << 20, 2048, 4, 200_000
+WINDOW, SEGMENT_BYTES, SLICE_ROWS, TOGETHER, BLOCK_WORDS = 13, 2 << 20, 1024, 4, 200_000
 
 INDEX = "doc_ids array<long>, cuts binary, terms binary, counts binary, positions binary"
 RESULT = "n_words long, n_hit long, n_items long, items array<string>"
@@ -48,6 +48,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     from pyspark.sql import functions as F
 
+    common.bound_batches(docs.sparkSession)
     return common.saved(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, INDEX), "postings")
 
 

@@ -204,6 +204,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     letter, and for all if there is no network. Ties go to the first language
     by name. Every row gives a row; an empty table gives an empty table; columns not in keep are not read.
     """
+    common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some kB, whatever the input
     source = docs.select(id_col, text_col, *keep)
 

@@ -130,6 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns stay as they are, but columns named n_lines or n_dropped give way; an empty table stays empty.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).alias("_text"))
     shares = [k / batches for k in range(1, batches)]
     cuts = rows.agg(F.percentile_approx("_id", shares, 10_000)).first()[0] if shares else []

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from factloom.llm import common
+
 MARK = "▁"
 #: Words of which a task keeps the count at once, and their greatest length.
 KEPT_WORDS, KEPT_LENGTH = 400_000, 64
@@ -80,6 +82,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     and null ids give a row each; other columns are not read. An empty table
     gives an empty table.
     """
+    common.bound_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     shared = docs.sparkSession.sparkContext.broadcast((model, whole_tokens(model)))  # a vocabulary file: bounded

@@ -251,6 +251,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     import json
 
     spark = docs.sparkSession
+    common.bound_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
     special = tuple(x["content"] for x in json.loads(model).get("added_tokens", []))

@@ -122,6 +122,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame) -> DataFrame:
     """Write bundles into the shared folder; returns their index, a row for each frame."""
     spark = pages.sparkSession
+    common.bound_batches(spark)
     folder = common.scratch_path(spark, "warc")
 
     def run(batches):
