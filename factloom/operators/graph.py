@@ -14,41 +14,60 @@ from pyspark.sql import functions as F
 from factloom.sources.scratch import cut
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth) of nodes first reached at depth 1 to max_depth; seeds (node) are never reached again."""
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth) of nodes first reached at depth 1 to max_depth, or at any depth; seeds (node) are never reached again."""
     edges = cut(edges.select("source", "target").distinct(), "bfs-edges")
     visited = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
     frontier = visited
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = edges.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
         frontier = cut(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if depth % MERGED == 0:
+            visited = cut(visited, "bfs")
     return visited.filter("depth > 0")
 
 
-#: Rounds of a closure after which its pairs are written as one table; the delta of each round is written anyway.
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node) of all nodes that a path of one edge or more leads to from each of a few seeds (node), to the end."""
+    edges = cut(edges.select("source", "target").distinct(), "reach-edges")
+    start = seeds.select(F.col("node").alias("seed")).distinct()
+    known = delta = cut(start.join(edges, F.col("seed") == F.col("source")).select("seed", F.col("target").alias("node")).distinct(), "reach")
+    for k in itertools.count(1):
+        step = delta.join(edges, F.col("node") == F.col("source")).select("seed", F.col("target").alias("node")).distinct()
+        delta = cut(step.join(known, ["seed", "node"], "left_anti"), "reach")
+        if delta.isEmpty():
+            return known
+        known = known.unionByName(delta)
+        if k % MERGED == 0:
+            known = cut(known, "reach")
+
+
+#: Rounds after which what was found is written as one table; each round's own rows are written anyway.
 MERGED = 16
 
 
 def closure(edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, str]:
     """(all pairs (source, target) with a path, state): state is "unknown" if rounds were given and ran out first.
 
-    Semi-naive: each round joins only the pairs of the round before. Without
-    max_rounds it goes on until a round finds nothing, however long the paths.
+    Round k finds the pairs of distance above 2 ** (k - 1), up to 2 ** k: a
+    shortest path of such a length is one of exactly 2 ** (k - 1) edges and one
+    that is known, so rounds grow with the logarithm of the longest distance
+    and a pair comes from the nodes halfway only. Without max_rounds it goes on until a round finds nothing.
     """
-    edges = cut(edges.select("source", "target").distinct(), "closure")
-    known = delta = edges
+    near = edges.select("source", "target").distinct().withColumn("d", F.lit(1).cast("long"))
+    known = delta = cut(near, "closure")
     for k in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
-        step = delta.join(edges.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target")).distinct()
+        half = 1 << (k - 1)
+        first = delta.filter(F.col("d") == half).select("source", F.col("target").alias("via"), F.col("d").alias("d1"))
+        step = first.join(known.select(F.col("source").alias("via"), "target", F.col("d").alias("d2")), "via").groupBy("source", "target").agg(F.min(F.col("d1") + F.col("d2")).alias("d"))
         delta = cut(step.join(known, ["source", "target"], "left_anti"), "closure")
         if delta.isEmpty():
-            return known, "exact"
+            return known.select("source", "target"), "exact"
         known = known.unionByName(delta)
-        if k % MERGED == 0:
-            known = cut(known, "closure")
-    return known, "unknown"
+    return known.select("source", "target"), "unknown"
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -155,5 +174,5 @@ def would_cycle(parents: DataFrame, parent, child) -> bool:
     spark = parents.sparkSession
     edges = parents.select(F.col("child").alias("source"), F.col("parent").alias("target"))
     kind = parents.schema["child"].dataType.simpleString()
-    above = bfs(edges, spark.createDataFrame([(parent,)], f"node {kind}"), 64)
+    above = bfs(edges, spark.createDataFrame([(parent,)], f"node {kind}"))
     return not above.filter(F.col("node") == F.lit(child)).isEmpty()

@@ -276,3 +276,26 @@ def test_watermarked_windows(spark):
     batch = spark.read.parquet(f"{DIR}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     done, all_rows = {tuple(r) for r in out.collect()}, {tuple(r) for r in batch.collect()}
     assert done and done <= all_rows and len(done) >= 0.9 * len(all_rows)
+
+
+def test_joins_keep_equal_rows(spark):
+    texts = spark.createDataFrame([("abc",), ("abc",), (None,), ("z",)], "text string")
+    needles = spark.createDataFrame([("c", 1), ("b", 2), (None, 0)], "needle string, ord int")
+    assert sorted(map(tuple, joins.contained_first(texts, needles, "text", "needle", "ord").collect()), key=str) == [("abc", "c"), ("abc", "c"), ("z", None), (None, None)]
+    points = spark.createDataFrame([("g", 5), ("g", 5), ("g", 99)], "g string, x long")
+    spans = spark.createDataFrame([("g", 0, 50), ("g", 4, 8)], "g string, a long, z long")
+    assert [tuple(r) for r in joins.point_in_span(points, spans, "g", "x", "a", "z", 16).select("x", "a", "z").collect()] == [(5, 4, 8)] * 2
+    left = spark.createDataFrame([(1, "l"), (1, "l")], "k int, v string")
+    right = spark.createDataFrame([(1, 1), (2, 1)], "p int, q int")
+    assert joins.either_key(left, right, "k", [F.col("p"), F.col("q")]).count() == 4
+
+
+def test_chain_longer_than_any_budget(spark):
+    n = 130
+    chain = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(n, 0)], "source long, target long")
+    start = spark.createDataFrame([(0,)], "node long")
+    found = {(r.node, r.depth) for r in G.bfs(chain, start).collect()}
+    assert found == {(k, k) for k in range(1, n + 1)}
+    pairs, state = G.closure(chain)
+    assert state == "exact" and pairs.count() == (n + 1) ** 2
+    assert {r.node for r in G.reach(chain.filter("source < 40"), start).collect()} == set(range(1, 41))
