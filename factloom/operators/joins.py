@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 
 def either_key(left: DataFrame, right: DataFrame, left_key: str, right_keys: list[Column]) -> DataFrame:
-    """Rows of left whose key equals any of several keys of right: a union of equi-joins, each pair once."""
+    """Rows of left whose key equals any of several keys of right: one equi-join on their distinct keys, so each pair of rows stands once."""
     keyed = right.withColumn("_key", F.explode(F.array_distinct(F.array(*right_keys))))
-    return left.join(keyed, left[left_key] == keyed["_key"]).drop("_key").distinct()
+    return left.join(keyed, left[left_key] == keyed["_key"]).drop("_key")
 
 
 def point_in_span(points: DataFrame, spans: DataFrame, group: str, at: str, start: str, end: str, bin_size: int) -> DataFrame:
     """The innermost span [start, end) of the same group that covers each point.
 
     Spans are dealt to the bins they touch, so the join is on (group, bin); a
-    tie of lengths goes to the smaller start.
+    tie of lengths goes to the smaller start. Equal points are found once and come back as often as they stand.
     """
     binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_size), F.floor((F.col(end) - 1) / bin_size))))
-    asked = points.withColumn("_bin", F.floor(F.col(at) / bin_size))
+    asked = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_bin", F.floor(F.col(at) / bin_size))
     found = asked.join(binned, [group, "_bin"]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
     inner = Window.partitionBy(*points.columns).orderBy(F.col(end) - F.col(start), start)
-    return found.withColumn("_n", F.row_number().over(inner)).filter("_n = 1").drop("_n", "_bin")
+    return found.withColumn("_n", F.row_number().over(inner)).filter("_n = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_n", "_bin", "_copies", "_copy")
 
 
 def overlapping(a: DataFrame, b: DataFrame, group: str, bin_size: int) -> DataFrame:
@@ -34,13 +34,16 @@ def overlapping(a: DataFrame, b: DataFrame, group: str, bin_size: int) -> DataFr
 
 
 def contained_first(texts: DataFrame, needles: DataFrame, text: str, needle: str, order: str, limit: int = 10_000) -> DataFrame:
-    """The first needle, by order, that each text contains; null if none. needles: at most `limit` rows, checked."""
+    """Each text with the first needle, by order, that it contains; null if none. needles: at most `limit` rows, checked.
+
+    The needles come to every task as one sorted array, so texts are not moved and equal rows all stay.
+    """
     n = needles.limit(limit + 1).count()
     if n > limit:
         raise ValueError(f"more than {limit} needles: split them by a key first")
-    found = texts.join(F.broadcast(needles), F.col(text).contains(F.col(needle)), "left")
-    keep = [c for c in texts.columns]
-    return found.groupBy(*keep).agg(F.min_by(needle, order).alias(needle))
+    sorted_needles = needles.filter(F.col(needle).isNotNull()).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(needle).alias("n")))).alias("_needles"))
+    hit = F.filter("_needles", lambda x: F.col(text).contains(x["n"]))
+    return texts.crossJoin(F.broadcast(sorted_needles)).withColumn(needle, F.get(hit, F.lit(0))["n"]).drop("_needles")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, rev: str, value: str) -> DataFrame:
