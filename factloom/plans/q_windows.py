@@ -27,11 +27,10 @@ def wn2_global_winner(t):
     return g.agg(F.max_by("o_custkey", F.struct("n", "s", -F.col("o_custkey"))).alias("winner"))
 
 
-@query("select l_orderkey, l_partkey, l_linenumber, row_number() over (partition by l_orderkey order by l_partkey, l_linenumber) - 1 as ordinal, min(l_partkey) over (partition by l_orderkey) as cluster from lineitem where l_orderkey < 500")
+@query("select l_orderkey, l_partkey, l_linenumber, row_number() over (partition by l_orderkey order by l_partkey, l_linenumber) - 1 as ordinal, min(l_partkey) over (partition by l_orderkey) as cluster from lineitem")
 def wn3_ordinal_in_cluster(t):
     w = Window.partitionBy("l_orderkey")
-    rows = t.lineitem.filter("l_orderkey < 500")
-    return rows.select("l_orderkey", "l_partkey", "l_linenumber", (F.row_number().over(w.orderBy("l_partkey", "l_linenumber")) - 1).cast("long").alias("ordinal"), F.min("l_partkey").over(w).alias("cluster"))
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", (F.row_number().over(w.orderBy("l_partkey", "l_linenumber")) - 1).cast("long").alias("ordinal"), F.min("l_partkey").over(w).alias("cluster"))
 
 
 @query("select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as ordinal from events")
@@ -39,10 +38,10 @@ def wn4_declaration_ordinal(t):
     return t.events.select("event_id", (F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1).cast("long").alias("ordinal"))
 
 
-@query("select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_quantity, l_extendedprice desc, l_linenumber, l_partkey) as call_order from lineitem where l_suppkey = 7")
+@query("select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_quantity, l_extendedprice desc, l_linenumber, l_partkey) as call_order from lineitem")
 def wn5_call_order(t):
     w = Window.partitionBy("l_orderkey").orderBy(F.asc("l_quantity"), F.desc("l_extendedprice"), F.asc("l_linenumber"), F.asc("l_partkey"))
-    return t.lineitem.filter("l_suppkey = 7").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("call_order"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("call_order"))
 
 
 @query("with e as (select event_type as a, lead(event_type) over (partition by user_id order by ts, event_id) as b from events) select a, b, count(*) as n from e where b is not null group by 1, 2")
@@ -187,9 +186,9 @@ def fn14_last_segment(t):
     return t.spark.createDataFrame([("a.b::load_x",), ("p->q",), ("f()",)], "name string").select("name", S.last_segment(F.col("name")).alias("last"))
 
 
-@query("select * from (values ('parseOrderLines', 'parse order line'), ('load_the_users', 'load user'), ('HTTPGet', 'httpget')) v(name, words)")
+@query("select * from (values ('parseOrderLines', 'parse order line'), ('load_the_rows', 'load row'), ('HTTPGet', 'httpget')) v(name, words)")
 def fn15_tokens(t):
-    rows = t.spark.createDataFrame([("parseOrderLines",), ("load_the_users",), ("HTTPGet",)], "name string")
+    rows = t.spark.createDataFrame([("parseOrderLines",), ("load_the_rows",), ("HTTPGet",)], "name string")
     return rows.select("name", F.array_join(S.tokens(F.col("name")), " ").alias("words"))
 
 
@@ -224,9 +223,9 @@ def fn21_sigmoid(t):
     return t.supplier.select("s_suppkey", F.round(S.sigmoid(F.col("s_acctbal") / 1000), 6).alias("p"))
 
 
-@query("with s as (select user_id, list(distinct event_type) as k from events where user_id < 30 group by 1) select a.user_id as a, round(len(list_intersect(a.k, b.k))::double / len(list_distinct(list_concat(a.k, b.k))), 6) as j from s a join s b on b.user_id = a.user_id + 1")
+@query("with s as (select user_id, list(distinct event_type) as k from events group by 1) select a.user_id as a, round(len(list_intersect(a.k, b.k))::double / len(list_distinct(list_concat(a.k, b.k))), 6) as j from s a join s b on b.user_id = a.user_id + 1")
 def fn22_jaccard(t):
-    s = t.events.filter("user_id < 30").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    s = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     b = s.select((F.col("user_id") - 1).alias("user_id"), F.col("k").alias("k2"))
     return s.join(b, "user_id").select(F.col("user_id").alias("a"), F.round(S.jaccard(F.col("k"), F.col("k2")), 6).alias("j"))
 
@@ -242,10 +241,9 @@ def fn24_keyword_complexity(t):
     return t.pages.select("page_id", (1 + F.regexp_count("html", F.lit("<(a|p|li|div|script)[ >]"))).cast("long").alias("complexity"))
 
 
-@query("select doc_id, case when regexp_matches(text, '(?i)(?:password|passwd|secret|api_key|token)\\s*[:=]\\s*[''\"]?[^\\s''\"]{6,}') and not regexp_matches(text, '(?i)xxx|changeme|example|placeholder') then 'assignment' end as kind from documents where not regexp_matches(text, 'AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----')")
+@query("select doc_id, case when regexp_matches(text, '" + S.PLACEHOLDERS + "') then null " + " ".join(f"when regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') then '{k}'" for k, p in S.SECRETS.items()) + " end as kind from documents")
 def fn26_secrets(t):
-    others = "AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    return t.documents.filter(~F.col("text").rlike(others)).select("doc_id", S.secret_kind(F.col("text")).alias("kind"))
+    return t.documents.select("doc_id", S.secret_kind(F.col("text")).alias("kind"))
 
 
 @query("select * from (values ('You must not pay', 'prohibition'), ('It shall log', 'obligation'), ('We should try', 'recommendation'), ('You may go', 'permission'), ('It rains', 'statement')) v(claim, modality)")
@@ -290,6 +288,6 @@ def fn32_path_params(t):
     return rows.select("route", F.array_join(S.path_params(F.col("route")), ",").alias("params"))
 
 
-@query("select doc_id, lower(left(text, 60)) as folded from documents where lang = 'en'")
+@query("select doc_id, sha256(lower(upper(regexp_replace(text, '[\u00df\u1e9e]', 'ss', 'g')))) as folded_sha256 from documents")
 def fn1_fold_case(t):
-    return t.documents.filter("lang = 'en'").select("doc_id", S.fold_case(F.substring("text", 1, 60)).alias("folded"))
+    return t.documents.select("doc_id", F.sha2(S.fold_case(F.col("text")), 256).alias("folded_sha256"))
