@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from pyspark.sql import functions as F
 
 from factloom.sources.scratch import cut as saved
 from factloom.sources.scratch import delete_path, scratch_path
@@ -31,6 +33,25 @@ def spread(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Bits of a filter that a scan passes before it is joined: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str) -> DataFrame:
+    """rows with a column name: false where key is surely not among wanted's keys, by a broadcast bitmap of hashed keys.
+
+    The bitmap comes in rows of 4 kB, FILTER_BITS in all. Once keys are many
+    more than the bits it marks all rows; the join after it decides. Neither
+    side moves. A null key counts as a value.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot(wanted_key)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(wanted_key))).alias("_bits"))
+    at = F.bitmap_bit_position(slot(key))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_bucket", F.bitmap_bucket_number(slot(key))).join(F.broadcast(bits), "_bucket", "left")
+    return found.select(*rows.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(name))
+
+
 def open_shared(path: str):
     """(file system, path) of a shared folder's path for file access in a task."""
     from pyarrow import fs

@@ -255,5 +255,72 @@ def test_nearest_recall(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_nearest_prunes(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 24))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    asked = df.filter("vec_id % 200 = 0")
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, asked).collect()}
+    want = set()
+    for q in range(0, 6000, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want |= {(q, int(k)) for k in np.lexsort((np.arange(6000), d))[:10]}
+    # 300 of 6,000 are reranked
+    assert 10 * ann.DEPTH < ann.SHARE * 6000 == 300 and 0.9 <= len(got & want) / len(want)
+    assert {(r.query_id, r.vec_id) for r in ann.search(df, asked, share=1.0).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_signatures_are_shared(seed):
+    rng = np.random.default_rng(seed)
+    bands = ngram_join.Bands(75, 100)
+    for _ in range(150):
+        n = int(rng.integers(1, 200))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 5, dtype=np.uint64) * np.uint64(2))
+        rng.shuffle(pool)
+        both = min(n, -(-3 * n // 4) + int(rng.integers(0, 3)))
+        left = int(rng.integers(0, n - both + 1))
+        a, b = np.sort(pool[: both + left]), np.sort(np.concatenate([pool[:both], pool[both + left : n]]))
+        out, needs = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
+        by = {}
+        for (sig, who), (inst, need) in zip(out, needs, strict=True):
+            for k in (0, 1):
+                if inst[k] >= 0:
+                    by.setdefault(int(inst[k]), {})[k] = (set(sig[who == k].tolist()), int(need[k]))
+        assert any(len(v) == 2 and len(v[0][0] & v[1][0]) >= max(1, v[0][1], v[1][1]) for v in by.values())
+
+
+def test_signature_covers_two_cells():
+    bands = ngram_join.Bands(75, 100)
+    assert [int(ngram_join.agree(4, k)) for k in range(9)] == [12, 10, 8, 6, 4, 3, 2, 1, 0]
+    low, parts = bands.table(4000)
+    for a, p in zip(low[20:-1].tolist(), parts[20:].tolist(), strict=True):
+        # a signature is two of three cells of a partition: more than one element of even the smallest set of the band
+        assert ngram_join.SUBSET * a / (ngram_join.CELLS * p) > 1.5
+
+
+def test_common_line(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    rows = [(k, f"a line in every document\nits own line {k}\nshared by two {k // 2}") for k in range(200)]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, rows).repartition(4)).collect())
+    assert got == [(r["doc_id"], r["text"]) for r in brute_lines([{"doc_id": k, "text": t} for k, t in rows])]
+
+
+def test_marked(spark):
+    rows, wanted = spark.range(1000), spark.createDataFrame([(k,) for k in range(0, 1000, 7)] + [(None,)], "w long")
+    got = {r.id for r in common.marked(rows, rows["id"], wanted, wanted["w"], "m").filter("m").collect()}
+    assert set(range(0, 1000, 7)) <= got and len(got) < 160
+
+
+def test_language_keeps_odd_rows(spark):
+    net = language_id.train([b"aaa bbb aab " * 9, b"xxyy zzx yzx " * 9], ["a", "x"])
+    docs = spark.createDataFrame([(None, "aab aab", "k", 1.0), (1, "zzx", "k", 2.0), (1, "zzx", "k", 2.0), (2, None, "k", 3.0), (3, "12 -", "k", 4.0)], "doc_id long, text string, source string, score double")
+    out = language_id.identify(docs, net, keep=("source", "score"))
+    assert out.columns == ["doc_id", "source", "lang_pred", "score"]
+    assert sorted((str(r.doc_id), r.lang_pred, r.score > 0) for r in out.collect()) == [("1", "x", True), ("1", "x", True), ("2", "und", False), ("3", "und", False), ("None", "a", True)]
+    assert language_id.identify(docs.limit(0), net).count() == 0 and language_id.fit(docs.withColumn("lang", docs["source"]).limit(0)) is None
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 
 from factloom.llm import chat_format, packing, token_counts, token_output, warc
 
@@ -129,6 +130,24 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0 and packing.pack(frame(spark, [None])).first().batch is None
 
 
+def test_bins_hold_real_lengths(spark):
+    lengths = [5, 5, 40_001, 40_002, 40_003, 90_000]
+    docs = spark.createDataFrame([(None if k == 0 else k, str(k), n) for k, n in enumerate(lengths)], "doc_id long, text string, n long")
+    rows = packing.pack(docs, length=docs["n"], buckets=3, budget=64).collect()
+    assert sorted((r.length, r.bucket_length, r.padding) for r in rows) == [(5, 5, 0), (5, 5, 0), (40_001, 40_003, 2), (40_002, 40_003, 1), (40_003, 40_003, 0), (90_000, 90_000, 0)]
+    assert len({(r.bucket, r.batch, r.slot) for r in rows}) == len(rows) and sum(r.doc_id is None for r in rows) == 1
+
+
+def test_packing_of_tokens(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [None, "", "  ", *sample(30), "a very long text " * 20_000]
+    rows = packing.pack_tokens(frame(spark, texts), path).collect()
+    assert {r.doc_id: r.length for r in rows} == {k: len(sp.encode(t or "")) for k, t in enumerate(texts)}
+    assert all((r.batch is None) == (r.length == 0) for r in rows)
+    assert packing.pack_tokens(frame(spark, []), path).count() == 0
+
+
 def test_packing_slices(spark, monkeypatch):
     monkeypatch.setattr(packing, "SLICE", 7)
     rows = packing.pack(frame(spark, ["a b"] * 100 + ["c"] * 50), buckets=2, budget=6).collect()
