@@ -23,6 +23,8 @@ FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 REVISIT_BYTES = 1000
 NO_DATE = "1970-01-01T00:00:00Z"
 URN = "urn:page:"
+#: Parts in which the rows of one repeated digest are dealt.
+SALTS = 16
 
 INDEX = "bundle string, frame int, frame_offset long, frame_size long, page_id array<long>, record_offset array<long>, record_size array<long>"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -112,11 +114,20 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """pages with n_bytes, digest, revisit and refers_to (the largest page_id of equal payloads of REVISIT_BYTES or more)."""
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumns({"n_bytes": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
-    last = rows.filter(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # few payloads repeat: the join deals the rows by digest, and a hot one can be split
-    out = rows.join(last.drop("n"), "digest", "left")
-    revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return out.select("page_id", "url", "html", "n_bytes", "digest", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
+    large = common.saved(rows.filter(F.col("n_bytes") >= REVISIT_BYTES).select("page_id", "url", "n_bytes", "digest"), "warc-digests")
+    last = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    last = common.saved(last, "warc-repeats")
+    # a revisit needs no payload: it comes from the narrow rows, of which only those of a repeated digest move, dealt in SALTS parts
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    again = common.marked(large, F.col("digest"), last, F.col("digest"), "_maybe").filter("_maybe").withColumn("_s", salt("page_id"))
+    revisits = again.join(last.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "_s"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = common.saved(revisits.select("page_id", "url", "n_bytes", "digest", "refers_to"), "warc-revisits")
+    # a payload stays where it is read unless the bitmap of revisits' pages may hold it
+    checked = common.marked(rows, F.col("page_id"), revisits, F.col("page_id"), "_maybe")
+    mine = revisits.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d")).distinct()
+    rest = checked.filter("_maybe").join(mine, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left_anti")
+    responses = checked.filter("not _maybe").unionByName(rest).select("page_id", "url", "html", "n_bytes", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    return responses.unionByName(revisits.select("page_id", "url", F.lit(b"").alias("html"), "n_bytes", "digest", "refers_to", F.lit(True).alias("revisit")))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
