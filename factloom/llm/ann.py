@@ -2,8 +2,9 @@
 
 A vector is represented by its nearest pivots in order. Each block of the
 index holds pivot inverted files: for every pivot, the vectors that have it
-among their nearest, with its rank there. A query adds up the footrule
-distance between its own ranks and the posted ones (a pivot that is missing
+among their nearest, with its rank there. A query reads the files of its own
+nearest pivots only, adds up the footrule
+distance between its ranks and the posted ones (a pivot that is missing
 counts as one rank past the last), takes the closest share of the block, and
 ranks these again by the true distance in double precision.
 """
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 from factloom.llm import common
 
 #: Pivots, ranks kept of a vector, rows from which the driver takes pivots (the bound of what fits the index).
-PIVOTS, RANKS, SAMPLE = 256, 64, 2048
+PIVOTS, RANKS, SAMPLE = 256, 128, 2048
 #: Vectors of an index block, queries of a query block.
 BLOCK, QUERY_BLOCK = 16_384, 1024
-#: Of a block's distinct vectors, the share reranked, and the least number.
-SHARE, LEAST = 1 / 12, 1500
+#: Of a block's distinct vectors, the share reranked, and the least number for each neighbour asked for.
+SHARE, DEPTH = 1 / 20, 20
 
 INDEX = "ids binary, vectors binary, members binary, dim int, offsets binary, posted binary, ranks binary"
 
@@ -147,7 +148,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
     those of another length than the commonest, and rows without id take no
     part. Rows of an id are told apart only by it: a query never finds rows of its own id, and
     repeated ids are found as often as they stand. Fewer than k candidates give fewer rows; empty tables none.
-    share: what part of each block is reranked; LEAST at least.
+    share: what part of each block's distinct vectors is reranked, k * DEPTH at least; a share of 1 is the exact search.
     """
     spark = vectors.sparkSession
     rows, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
@@ -174,7 +175,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
                 block = Block(ids[order], np.searchsorted(members[order], np.arange(members.max() + 2)), np.frombuffer(raw[1], "<f8").reshape(-1, dim), np.frombuffer(raw[4], "<i8"), np.frombuffer(raw[5], "<i4"), np.frombuffer(raw[6], np.uint8))
                 # copies stand in ascending id order, so a vector's first member decides its ties
                 smallest = block.ids[block.first[:-1]]
-                most = min(len(block.vectors), max(LEAST, int(np.ceil(len(block.vectors) * share))))
+                most = min(len(block.vectors), max(k * DEPTH, int(np.ceil(len(block.vectors) * share))))
                 for path in paths:
                     fs, p = common.open_shared(path)
                     with fs.open_input_file(p) as f:
