@@ -11,28 +11,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm import common, token_counts
+
 #: Defaults: number of buckets, tokens of a batch with its padding.
 BUCKETS, BUDGET = 16, 32768
-#: Lengths above this are binned by their leading bits, so the histogram has a fixed bound of about 2 ** 19 rows.
+#: Lengths above this share a bin with those of the same 15 leading bits, so the histogram has a fixed bound of about
+#: 2 ** 19 rows. A bin gives its greatest length as a possible bound and its exact sum: a bucket's bound is a
+#: real length, and only bounds inside a bin, less than a 2 ** -14 of the length apart, are not tried.
 EXACT_LENGTH = 1 << 15
 #: Documents of a slice on average.
 SLICE = 20_000
 
 
-def optimal_bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
+def optimal_bounds(histogram: list[tuple], buckets: int) -> list[int]:
     """Upper bounds of at most `buckets` buckets with the least total padding.
 
-    histogram: (length, count), lengths distinct. cost(i, j) = L[j] * (N[j] - N[i]) -
-    (S[j] - S[i]) is linear in L[j] for each i, so each round keeps a lower hull
+    histogram: (length, count), lengths distinct, or (greatest length, count,
+    sum of lengths) of bins. cost(i, j) = L[j] * (N[j] - N[i]) - (S[j] - S[i])
+    is linear in L[j] for each i, so each round keeps a lower hull
     of lines and needs one pass. Of equal optima, the one with fewer buckets.
     """
     rows = sorted(x for x in histogram if x[0] > 0)
     if not rows:
         return []
     counts, sums = [0], [0]
-    for length, n in rows:
+    for length, n, *total in rows:
         counts.append(counts[-1] + n)
-        sums.append(sums[-1] + length * n)
+        sums.append(sums[-1] + (total[0] if total else length * n))
     n = len(rows)
     best = [0] + [rows[j][0] * counts[j + 1] - sums[j + 1] for j in range(n)]
     rounds = [[0] * (n + 1)]
@@ -74,7 +79,7 @@ def optimal_bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
 
 
 def binned(length: Column) -> Column:
-    """Lengths up to EXACT_LENGTH as they are, longer ones rounded up to 15 leading bits."""
+    """Lengths up to EXACT_LENGTH as they are, longer ones rounded up to 15 leading bits: the name of their bin."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double"))) - 14).cast("long")
     return F.when(length <= EXACT_LENGTH, length).otherwise(F.ceil(length / step).cast("long") * step)
 
@@ -89,26 +94,28 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     length: an expression over docs (default: words of the text). bucket counts
     from 0 by rising bucket_length; batch counts from 0 inside its bucket and
-    holds floor(budget / bucket_length) documents, at least one; slot is the
+    holds floor(budget / bucket_length) documents, at least one, so a document
+    longer than the budget is a batch alone; slot is the
     place in the batch. A document of no words, or null, is in no batch: bucket and the
-    columns after it are null. Order inside a bucket is by a hash of the id,
-    then id and text; equal rows take neighbouring places. An empty
-    table gives an empty table.
+    columns after it are null. Order inside a bucket is by a hash of the id and text,
+    then id; rows without id are dealt like others, and equal rows take neighbouring places. An empty
+    table gives an empty table; other columns are not read. Texts are read once, for (id, length, hash).
     """
     spark = docs.sparkSession
     size = F.coalesce(length if length is not None else word_count(F.col(text_col)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("_id"), size.alias("_n"), F.xxhash64(id_col, text_col).alias("_h")).withColumn("_l", binned(F.col("_n")))
+    rows = common.saved(docs.select(F.col(id_col).alias("_id"), size.alias("_n"), F.xxhash64(id_col, text_col).alias("_h")), "lengths")
     # the fixed bound of binned() holds for what comes to the driver
-    histogram = [(r[0], r[1]) for r in rows.groupBy("_l").count().collect()]
+    bins = rows.groupBy(binned(F.col("_n")).alias("_l")).agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("c"), F.sum("_n").alias("s"))
+    histogram = [(r.m, r.c, r.s) for r in bins.collect()]
     bounds = optimal_bounds(histogram, buckets)
-    total = sum(n for _, n in histogram)
+    total = sum(x[1] for x in histogram)
     slices = max(1, total // SLICE)
     if bounds:
-        bucket = F.array_position(F.transform(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("_l")), True).cast("int") - 1
+        bucket = F.array_position(F.transform(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("_n")), True).cast("int") - 1
         bound = F.element_at(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("_b") + 1)
     else:
         bucket, bound = F.lit(None).cast("int"), F.lit(None).cast("long")
-    rows = rows.withColumn("_b", F.when(F.col("_l") > 0, bucket)).withColumn("_s", F.pmod("_h", F.lit(slices)))
+    rows = rows.withColumn("_b", F.when(F.col("_n") > 0, bucket)).withColumn("_s", F.pmod("_h", F.lit(slices)))
     counts = rows.filter("_b is not null").groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("_m"))
     before = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", "_s", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
@@ -121,3 +128,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         F.col("_id").alias(id_col), F.col("_n").alias("length"), F.col("_b").alias("bucket"), F.col("_c").alias("bucket_length"),
         F.floor(F.col("_r") / F.col("_w")).cast("long").alias("batch"), F.pmod("_r", "_w").cast("long").alias("slot"), (F.col("_c") - F.col("_n")).alias("padding"),
     )
+
+
+def pack_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """pack() with the token counts of a model file as lengths; the texts are read once, by the count."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_key"))
+    counted = token_counts.count_tokens(rows, model_path, "_id", "_text", keep=("_key",))
+    return pack(counted, "_id", "_key", F.col("n_tokens"), buckets, budget).withColumnRenamed("_id", id_col)

@@ -74,19 +74,20 @@ def text_counter(model: bytes, whole: frozenset[str] | None):
     return count
 
 
-def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
-    """One row per row of docs: id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
+def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, columns of keep, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     No begin, end or added special tokens; special strings inside a text are
-    ordinary text. A null or empty text has 0 bytes and 0 tokens. Repeated rows
-    and null ids give a row each; other columns are not read. An empty table
+    ordinary text. A null or empty text has 0 bytes and 0 tokens; a very long one is counted whole. Repeated rows
+    and null ids give a row each; columns not in keep are not read. An empty table
     gives an empty table.
     """
     common.bound_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     shared = docs.sparkSession.sparkContext.broadcast((model, whole_tokens(model)))  # a vocabulary file: bounded
-    name = docs.select(id_col).schema[0]
+    source = docs.select(id_col, text_col, *keep)
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
 
     def run(batches):
         import pyarrow as pa
@@ -98,6 +99,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             text = b.column(1)
             n = pa.array([count(t) for t in text.to_pylist()], pa.int64())
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + k) for k in range(len(keep))), size, n, pc.greater(n, limit)], [id_col, *keep, "n_bytes", "n_tokens", "over_limit"])
+        common.release()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {name.dataType.simpleString()}, {SCHEMA}")
+    return source.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in (id_col, *keep)] + [SCHEMA]))
