@@ -2,7 +2,8 @@
 
 Documents come in batches of rising doc_id. The keys that earlier batches have
 seen lie in runs: tables bucketed and sorted by the key's 128-bit hash, with
-the document that owns the key. A batch's distinct keys are merge-joined with
+the document that owns the key. The whole table is read once for the keys of
+all batches. A batch's distinct keys are merge-joined with
 each run (bucket by bucket, no run is shuffled again); those without a match
 are the batch's own run on level 0. When a level has FANOUT runs they are
 merged into one run of the next.
@@ -24,6 +25,8 @@ NO_ID = (1 << 63) - 1
 STRIP = bytes(common.SPACE_CODES)
 #: Distinct keys that a task gathers before it passes them on.
 GATHERED = 200_000
+#: Keys held by more than 1 / HOT of a batch's documents' keys are fewer than HOT: these are broadcast, and their holders don't move.
+HOT = 50_000
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -37,7 +40,7 @@ def line_key(line: bytes) -> bytes | None:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """k1, k2, docs: distinct keys with the ids of documents that hold them, gathered in each task before the shuffle."""
+    """batch, k1, k2, docs of docs (_id, _text, _batch): distinct keys with the ids of documents that hold them, gathered in each task."""
 
     def run(batches):
         import numpy as np
@@ -46,22 +49,27 @@ def _keys(docs: DataFrame) -> DataFrame:
         def packed(seen):
             halves = np.frombuffer(b"".join(seen), ">i8").astype(np.int64).reshape(-1, 2)
             lists = pa.array([sorted(v) for v in seen.values()], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists], ["k1", "k2", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([batch] * len(seen), pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists], ["batch", "k1", "k2", "docs"])
 
         seen: dict[bytes, set] = {}
+        batch, held = None, 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, mine in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if seen and (mine != batch or held >= GATHERED):
+                    yield packed(seen)
+                    seen, held = {}, 0
+                batch = mine
                 for line in (text or "").encode().split(b"\n"):
                     key = line_key(line)
                     if key is not None:
                         seen.setdefault(key, set()).add(doc)
-                if len(seen) >= GATHERED:
-                    yield packed(seen)
-                    seen = {}
+                        held += 1
         if seen:
             yield packed(seen)
+        seen = {}
+        common.release()
 
-    return docs.mapInArrow(run, "k1 long, k2 long, docs array<long>")
+    return docs.mapInArrow(run, "batch int, k1 long, k2 long, docs array<long>")
 
 
 class LineRuns:
@@ -97,18 +105,27 @@ class LineRuns:
             common.delete_path(self.spark, row.data_type)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take batch (_id, _text), all of whose ids are above those before; returns drops (_id, k1, k2), written to the shared folder."""
-        rows = _keys(batch).repartition(self.buckets, "k1", "k2")
-        keys = rows.groupBy("k1", "k2").agg(F.min(F.array_min("docs")).alias("first"), F.max(F.array_max("docs")).alias("last"))
+        """Take batch (_id, _text), all of whose ids are above those before; returns drops (_id, _drops), written to the shared folder."""
+        return self.add_keys(common.saved(_keys(batch.select("_id", "_text", F.lit(0).alias("_batch"))), "line-rows"))
+
+    def add_keys(self, rows: DataFrame) -> DataFrame:
+        """As add(), from the batch's keys (k1, k2, docs) in a written table."""
+        keys = rows.groupBy("k1", "k2").agg(F.min(F.array_min("docs")).alias("first"), F.max(F.array_max("docs")).alias("last"), F.sum(F.size("docs")).alias("holders"))
+        keys = keys.repartition(self.buckets, "k1", "k2")
         owners = []
         for k, name in enumerate(x for level in self.levels for x in level):
             keys = keys.join(self.spark.table(name).withColumnRenamed("owner", f"owner{k}"), ["k1", "k2"], "left")
             owners.append(F.col(f"owner{k}"))
         before = F.coalesce(*owners, F.lit(None).cast("long"))
-        known = common.saved(keys.select("k1", "k2", before.alias("before"), F.coalesce(before, "first").alias("owner"), "last"), "line-keys")
+        known = common.saved(keys.select("k1", "k2", before.alias("before"), F.coalesce(before, "first").alias("owner"), "last", "holders"), "line-keys")
         run = self._write(known.filter("before is null").select("k1", "k2", "owner").repartition(self.buckets, "k1", "k2"))
-        repeated = known.filter("last > owner").select("k1", "k2", "owner")
-        held = rows.join(repeated, ["k1", "k2"]).select("k1", "k2", "owner", F.explode("docs").alias("_id")).filter("_id <> owner")
+        most = (known.agg(F.sum("holders")).first()[0] or 0) // HOT
+        repeated = known.filter("last > owner").select("k1", "k2", "owner", "holders")
+        # a hot key's holders stay where they are: fewer than HOT keys have more than that share of all, so the broadcast is bounded
+        hot = rows.join(F.broadcast(repeated.filter(F.col("holders") > most)), ["k1", "k2"]) if most else None
+        cold = rows.join(repeated.filter(F.col("holders") <= most) if most else repeated, ["k1", "k2"])
+        both = cold if hot is None else cold.unionByName(hot)
+        held = both.select("k1", "k2", "owner", F.explode("docs").alias("_id")).filter("_id <> owner")
         drops = common.saved(held.select("_id", "k1", "k2").groupBy("_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops")), "line-drops")
         self.levels[0].append(run)
         self._compact()
@@ -136,9 +153,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = rows.agg(F.percentile_approx("_id", shares, 10_000)).first()[0] if shares else []
     cuts = sorted(set(cuts or []))
     runs, parts = LineRuns(spark, common.spread(spark)), []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = rows if low is None else rows.filter(F.col("_id") > low)
-        parts.append(runs.add(batch if high is None else batch.filter(F.col("_id") <= high)))
+    number = sum(((F.col("_id") > c).cast("int") for c in cuts), F.lit(0))
+    path = common.scratch_path(spark, "line-rows")
+    _keys(rows.withColumn("_batch", number)).write.partitionBy("batch").parquet(path)
+    dealt = spark.read.schema("k1 long, k2 long, docs array<long>, batch int").parquet(path)
+    for k in range(len(cuts) + 1):
+        parts.append(runs.add_keys(dealt.filter(F.col("batch") == k).drop("batch")))
     runs.close()
     drops = parts[0]
     for part in parts[1:]:
@@ -170,6 +190,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 gone.append(len(lines) - len(stay))
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*(f"_c{k}" for k in range(len(names))), "_n", "_d"])
+        common.release()
 
     kinds = ", ".join(f"_c{k} {docs.schema[k].dataType.simpleString()}" for k in range(len(names)))
     out = joined.mapInArrow(run, f"{kinds}, _n long, _d long")
