@@ -183,17 +183,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     the driver: those of smallest hash of the id.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (split_of(F.col(id_col)) != 2))
-    langs = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()]
     marked = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_h"))
-    ids: list = []
-    for lang in langs:
-        ids += [r[0] for r in marked.filter(F.col("_lang") == lang).orderBy("_h", "_id").limit(TRAIN_DOCS).collect()]
+    # one pass for all languages: each task keeps TRAIN_DOCS rows of a language before the shuffle
+    first = Window.partitionBy("_lang").orderBy("_h", "_id")
+    ids = [r[0] for r in marked.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= TRAIN_DOCS).select("_id").distinct().collect()]
     if not ids:
         return None
     rows = known.filter(F.col(id_col).isin(ids)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     # repeated ids would break the bound
     one = Window.partitionBy("_id").orderBy("_lang", "_text")
-    sample = rows.filter(F.col("_lang").isin(langs) & (F.length("_text") > 0)).withColumn("_k", F.row_number().over(one)).filter("_k = 1").orderBy("_id").collect()
+    sample = rows.filter(F.length("_text") > 0).withColumn("_k", F.row_number().over(one)).filter("_k = 1").orderBy("_id").collect()
     return train([r["_text"].encode() for r in sample], [r["_lang"] for r in sample]) if sample else None
 
 
@@ -202,10 +201,12 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     lang_pred is UNKNOWN, with score 0, for a text that is null or has no
     letter, and for all if there is no network. Ties go to the first language
-    by name. Every row gives a row; an empty table gives an empty table; columns not in keep are not read.
+    by name. Every row gives a row, repeated rows and rows without id too; an empty table gives an empty
+    table; columns not in keep are not read. A kept column named lang_pred or score gives way to the result.
     """
     common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some kB, whatever the input
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     source = docs.select(id_col, text_col, *keep)
 
     def run(batches):
