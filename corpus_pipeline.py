@@ -2,10 +2,18 @@
 
 Each stage works on all rows its predecessor kept. Rows without doc_id are told
 apart by a surrogate id from their text; every other row by its doc_id.
+
+Null or empty texts have no letter and go in the first stage, as do texts of
+digits or marks only; a null lang is filled, a null source stays, n_chars is
+counted anew where it is missing. Very long texts are read whole by every stage. Of rows with equal id and
+text the third stage keeps one; of similar documents that of smallest id, so ties don't arise. Columns beside those of
+documents are dropped by the first stage, whatever their names; an empty table
+passes all stages as an empty table.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +31,8 @@ def _key() -> Column:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; a missing lang is filled with it."""
+    if "n_chars" not in docs.columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
     docs = docs.select(*COLUMNS)
     found = language_id.identify(docs, language_id.fit(docs), keep=COLUMNS[1:])
     sure = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -52,8 +62,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batches: a row for each document with its bucket, batch and slot."""
-    return packing.pack(docs)
+    """The batches by token counts: a row for each document with its bucket, batch and slot; null in them for a text of no tokens."""
+    return packing.pack_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
