@@ -17,7 +17,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        return qualified(spark, root.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     atexit.register(shutil.rmtree, LOCAL, ignore_errors=True)
@@ -25,6 +25,12 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{LOCAL}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme: one without is of the cluster's default file system, which tasks can't ask for."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in this application's part of the shared folder."""
     return f"{shared_root(spark)}/factloom-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
