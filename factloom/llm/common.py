@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -60,18 +62,25 @@ def open_shared(path: str):
         return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
 
 
-def write_shared(path: str, data: bytes, attempt: str) -> None:
-    """Write a file under a name of its attempt, then move it: a lost or repeated task leaves no torn file."""
+@contextmanager
+def shared_output(path: str, attempt: str):
+    """A file to write under a name of its attempt, moved once it is whole: a lost or repeated task leaves no torn file."""
     fs, p = open_shared(path)
     fs.create_dir(p.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(f"{p}.{attempt}") as f:
-        f.write(data)
+        yield f
     fs.move(f"{p}.{attempt}", p)
 
 
+def write_shared(path: str, data: bytes, attempt: str) -> None:
+    with shared_output(path, attempt) as f:
+        f.write(data)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

@@ -15,6 +15,7 @@ the numbers of documents and blocks, and the magic again.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -46,6 +47,23 @@ def byte_symbols() -> dict[int, str]:
     return {k: chr(k) for k in plain} | {k: chr(256 + i) for i, k in enumerate(rest)}
 
 
+def splits_alike(tokenizer_json: str) -> bool:
+    """Whether a tokenizer is proved to split texts as `encoder` does and to encode each piece alone.
+
+    It must be a plain byte-level BPE without dropout, unknown token, affixes
+    or byte fallback, with the symbols of all bytes in its vocabulary, a
+    byte-level pre-tokenizer that uses its pattern and adds no space, no
+    normalizer, and a post-processor that only adds special tokens, if any.
+    """
+    import json
+
+    t = json.loads(tokenizer_json)
+    model, before, after = t["model"], t.get("pre_tokenizer") or {}, t.get("post_processor") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    pattern = before.get("type") == "ByteLevel" and before.get("add_prefix_space") is False and before.get("use_regex", True)
+    return bool(plain and pattern and not t.get("normalizer") and after.get("type") in (None, "ByteLevel", "TemplateProcessing") and set(byte_symbols().values()) <= set(model["vocab"]))
+
+
 def encoder(tokenizer_json: str, special: tuple[str, ...]):
     """A function from a list of texts to their ids, as bytes of little-endian uint32.
 
@@ -55,13 +73,16 @@ def encoder(tokenizer_json: str, special: tuple[str, ...]):
     distinct chunk once. A chunk of letters, with a mark after them or
     newlines between, or of printable ASCII, is split here by the same pattern and its pieces go to the
     library's model. Texts with special strings, or with
-    a space between other white space, go to the library whole.
+    a space between other white space, go to the library whole, as do all texts
+    of a tokenizer that isn't proved to split so (`splits_alike`).
     """
     import re
 
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer_json)
+    t.no_truncation()
+    t.no_padding()
     model = t.model.tokenize
     symbols = byte_symbols()
     space = symbols[32]
@@ -69,6 +90,11 @@ def encoder(tokenizer_json: str, special: tuple[str, ...]):
     def ids(texts):
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    if not splits_alike(tokenizer_json):
+        whole = lambda texts: [ids([x])[0] if x else b"" for x in texts]
+        whole.forget = lambda: None
+        return whole
+
     between = re.compile(r"\s \s").search
     ascii_pieces = re.compile(ASCII_PIECES, re.ASCII).findall
 
@@ -158,13 +184,14 @@ def encoder(tokenizer_json: str, special: tuple[str, ...]):
 
 
 class ShardWriter:
-    """Builds one shard file in memory from ids as they come; whole blocks are compressed at once."""
+    """Writes one shard to a file as ids come; a block is compressed and written once it is whole."""
 
-    def __init__(self):
+    def __init__(self, out):
         import zstandard
 
         self.zip = zstandard.ZstdCompressor(level=1).compress
-        self.body, self.size, self.index, self.docs = [MAGIC], len(MAGIC), [], []
+        self.out, self.size, self.index, self.docs = out, len(MAGIC), [], []
+        out.write(MAGIC)
         self.rest, self.n_rest = [], 0
 
     def add(self, doc_id, ids: bytes) -> None:
@@ -183,19 +210,19 @@ class ShardWriter:
             for plane in np.ascontiguousarray(block.T):
                 data = self.zip(plane.tobytes())
                 entry += [self.size, len(data)]
-                self.body.append(data)
+                self.out.write(data)
                 self.size += len(data)
             self.index.append(entry)
         self.rest, self.n_rest = [ids[end:].tobytes()], len(ids) - end
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         if self.n_rest:
             self._flush(True)
         ids = np.array([d if d is not None else 0 for d, _ in self.docs], "<i8").tobytes()
         null = np.array([d is None for d, _ in self.docs], np.uint8).tobytes()
         table = self.zip(ids + null + np.array([n for _, n in self.docs], "<i8").tobytes())
         index = self.zip(np.array(self.index, "<u8").tobytes())
-        return b"".join([*self.body, table, index, struct.pack(FOOTER, len(table), len(index), len(self.docs), len(self.index), MAGIC)])
+        self.out.write(table + index + struct.pack(FOOTER, len(table), len(index), len(self.docs), len(self.index), MAGIC))
 
 
 class ShardReader:
@@ -266,19 +293,23 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, w, end = None, ShardWriter(), struct.pack("<I", end_id)
-        for b in batches:
-            encode = encode or common.worker_value(shared.value, lambda: encoder(*shared.value))
-            names = b.column(0).to_pylist()
-            for a in range(0, len(names), 128):
-                for doc, ids in zip(names[a : a + 128], encode(b.column(1).slice(a, 128).to_pylist()), strict=True):
-                    w.add(doc, ids + end)
-        if encode:
-            encode.forget()  # an idle worker holds no table
+        batches = (b for b in batches if len(b))
+        head = next(batches, None)
+        if head is None:
+            return
+        encode, end = common.worker_value(shared.value, lambda: encoder(*shared.value)), struct.pack("<I", end_id)
+        k = TaskContext.get().partitionId()
+        path = f"{folder}/shard-{k:06d}-{uuid.uuid4().hex[:8]}.pln"
+        with common.shared_output(path, "part") as out:
+            w = ShardWriter(out)
+            for b in itertools.chain([head], batches):
+                names = b.column(0).to_pylist()
+                for a in range(0, len(names), 128):
+                    for doc, ids in zip(names[a : a + 128], encode(b.column(1).slice(a, 128).to_pylist()), strict=True):
+                        w.add(doc, ids + end)
+            w.finish()
+        encode.forget()  # an idle worker holds no table
         if w.docs:
-            k = TaskContext.get().partitionId()
-            path = f"{folder}/shard-{k:06d}-{uuid.uuid4().hex[:8]}.pln"
-            common.write_shared(path, w.finish(), "part")
             yield pa.RecordBatch.from_pydict({"shard": [k], "path": [path], "n_docs": [len(w.docs)], "n_tokens": [sum(n for _, n in w.docs)]}, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     return folder, common.saved(rows.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "shards")

@@ -1,7 +1,9 @@
 """Token counts, token files, WARC bundles, packing and chat formatting against brute force."""
 
 import hashlib
+import io
 import itertools
+import json
 import zlib
 from collections import defaultdict
 
@@ -60,16 +62,43 @@ def test_token_files_round_trip(spark):
 
 
 def test_shard_blocks(tmp_path):
-    w = token_output.ShardWriter()
+    out = io.BytesIO()
+    w = token_output.ShardWriter(out)
     data = [np.random.default_rng(k).integers(0, 2**32, n, dtype=np.uint32).tobytes() for k, n in enumerate([1, 200_000, 0, 3, 65_536])]
     for k, d in enumerate(data):
         w.add(None if k == 3 else k, d)
-    (tmp_path / "x").write_bytes(w.finish())
+    assert out.tell() > 4 * len(data[1]) // 5  # whole blocks are in the file already
+    w.finish()
+    (tmp_path / "x").write_bytes(out.getvalue())
     r = token_output.ShardReader(str(tmp_path / "x"))
     assert list(r.documents()) == [(None if k == 3 else k, d) for k, d in enumerate(data)]
     assert r.block(1) == b"".join(data)[4 * token_output.BLOCK : 8 * token_output.BLOCK]
 
 
+@pytest.mark.parametrize("change", ["none", "prefix space", "normalizer", "pattern", "dropped symbol", "truncation"])
+def test_other_tokenizers_equal_library(change):
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    if change == "prefix space":
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "normalizer":
+        spec["normalizer"] = {"type": "Lowercase"}
+    elif change == "pattern":
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, spec["pre_tokenizer"]]}
+    elif change == "dropped symbol":
+        spec["model"]["unk_token"] = "!"
+    elif change == "truncation":
+        spec["truncation"] = {"max_length": 5, "strategy": "LongestFirst", "stride": 0, "direction": "Right"}
+    made = json.dumps(spec)
+    assert token_output.splits_alike(made) == (change in ("none", "truncation"))
+    t = Tokenizer.from_str(made)
+    t.no_truncation()
+    texts = [x for x in ODD if x is not None] + ["One 12 TWO 345", " LEAD"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert token_output.encoder(made, ("<|endoftext|>",))(texts) == want
+
+
 def test_warc_round_trip(spark):
     big, other = "é" * 700, "b" * 1000
     html = [big, "x", "x", None, big, other, big, "", "c" * 999, "c" * 999, "z" * 600_000]
