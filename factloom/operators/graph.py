@@ -7,6 +7,7 @@ written to the shared folder, so no lost executor repeats earlier rounds.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,3 +177,31 @@ def would_cycle(parents: DataFrame, parent, child) -> bool:
     kind = parents.schema["child"].dataType.simpleString()
     above = bfs(edges, spark.createDataFrame([(parent,)], f"node {kind}"))
     return not above.filter(F.col("node") == F.lit(child)).isEmpty()
+
+
+def depth_limited(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(node, level, hidden) of a hierarchy (parent, child) down to depth; hidden counts the children that a node of the last level has."""
+    steps = edges.select(F.col("parent").alias("source"), F.col("child").alias("target"))
+    seen = roots.select("node", F.lit(0).alias("level")).distinct().union(bfs(steps, roots, depth))
+    below = steps.distinct().groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    hidden = F.when(F.col("level") == depth, F.coalesce("n", F.lit(0))).otherwise(0).cast("long")
+    return seen.join(below, "node", "left").select("node", "level", hidden.alias("hidden"))
+
+
+def fault_sets(lineage: DataFrame) -> DataFrame:
+    """(trace, kind, a, b, size): the least sets of one or two faults that break each trace.
+
+    lineage (trace, step, edge, idempotent): a trace succeeds while each of its
+    steps has an edge left and no edge that isn't idempotent comes twice. So a
+    crash breaks it, a duplicate of such an edge, the drop of a step's only
+    edge, and the drop of both edges of a step that has two, unless one of them breaks it alone. Sets follow
+    from counts by step: no pairs of edges are tried.
+    """
+    edges = lineage.groupBy("trace", "step", "edge").agg(F.bool_and("idempotent").alias("idempotent"))
+    steps = edges.groupBy("trace", "step").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("a"), F.max("edge").alias("b")).filter("n <= 2")
+    none = F.lit(None).cast(edges.schema["edge"].dataType)
+    row = lambda df, kind, a, b, size: df.select("trace", F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), F.lit(size).alias("size")).distinct()
+    single = steps.filter("n = 1").select("trace", "a").distinct()
+    two = steps.filter("n = 2").select("trace", "a", "b").join(single, ["trace", "a"], "left_anti").join(single.withColumnRenamed("a", "b"), ["trace", "b"], "left_anti")
+    out = [row(lineage, "crash", none, none, 1), row(edges.filter("not idempotent"), "duplicate", F.col("edge"), none, 1), row(single, "drop", F.col("a"), none, 1), row(two, "drop", F.col("a"), F.col("b"), 2)]
+    return reduce(lambda x, y: x.unionByName(y), out)

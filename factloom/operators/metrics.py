@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.scratch import cut
+
 
 def touches(lines: DataFrame) -> DataFrame:
     """Line items as file touches: commit = order, path = part, added and deleted lines, author = supplier."""
@@ -35,8 +37,25 @@ def pairs(rows: DataFrame, bulk: int) -> DataFrame:
     return each.select("commit", F.col("path").alias("a")).join(each.select("commit", F.col("path").alias("b")), "commit").filter("a < b")
 
 
+def newest_names(renames: DataFrame) -> DataFrame:
+    """(old, new) with chains of renames followed to their end, by pointer jumping; a name renamed twice goes to the greater one.
+
+    Each round doubles the steps a name has followed. Names that still move
+    after as many rounds as the longest chain could need are on a cycle, which raises.
+    """
+    now = cut(renames.groupBy("old").agg(F.max("new").alias("new")), "renames")
+    for _ in range(now.count().bit_length() + 1):
+        ahead = now.select(F.col("old").alias("new"), F.col("new").alias("further"))
+        step = cut(now.join(ahead, "new", "left").select("old", F.coalesce("further", "new").alias("new"), F.col("further").isNotNull().alias("moved")), "renames")
+        now = step.select("old", "new")
+        if step.filter("moved").isEmpty():
+            return now
+    raise ValueError("renames form a cycle")
+
+
 def canonical_paths(rows: DataFrame, renames: DataFrame) -> DataFrame:
-    """rows with a path's newest name; renames (old, new) are chains of one step here, see operators.graph for longer ones."""
+    """rows with a path's newest name; renames are (old, new)."""
+    renames = newest_names(renames)
     return rows.join(renames.withColumnRenamed("old", "path"), "path", "left").withColumn("path", F.coalesce("new", "path")).drop("new")
 
 

@@ -77,13 +77,13 @@ def ag16_exclusion_effect(t):
 
 
 @query(
-    """with s as (select distinct l_orderkey as c, case when l_partkey % 10 = 9 then l_partkey - 1 else l_partkey end as p from lineitem), k as (select c from s group by c having count(*) <= 6),
+    """with s as (select distinct l_orderkey as c, case when l_partkey % 10 > 6 then l_partkey - l_partkey % 10 + 6 else l_partkey end as p from lineitem), k as (select c from s group by c having count(*) <= 6),
     q as (select a.p as a, b.p as b, count(*) as support from s a join s b on a.c = b.c and a.p < b.p where a.c in (select c from k) group by 1, 2), n as (select p, count(*) as n from s where c in (select c from k) group by 1)
     select q.a, q.b, support, round(support / least(x.n, y.n), 4) as confidence from q join n x on x.p = q.a join n y on y.p = q.b where support >= 2"""
 )
 def ag17_cochange(t):
-    """Co-change support after renames (a part ending in 9 was the one before it), bulk commits excluded."""
-    renames = t.part.filter("p_partkey % 10 = 9").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") - 1).alias("new"))
+    """Co-change support after renames (parts ending in 7 to 9 were the one before, so 9 follows three renames), bulk commits excluded."""
+    renames = t.part.filter("p_partkey % 10 > 6").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") - 1).alias("new"))
     return M.cochange(M.touches(t.lineitem), renames, bulk=6, least=2)
 
 

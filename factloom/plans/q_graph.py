@@ -6,6 +6,8 @@ by key), which has cycles, and parts of one order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,10 +236,17 @@ def gr26_dirty_ancestors(t):
     return G.ancestors(h, 4).filter("node like 'c%' and distance > 0").select(F.col("ancestor").alias("node")).distinct()
 
 
-@query("select 'r' || r_regionkey as node, 0::bigint as level from region union all select 'n' || n_nationkey, 1 from nation")
+@query(
+    """select 'r' || r_regionkey as node, 0 as level, 0::bigint as hidden from region union all select 'n' || n_nationkey, 1, 0 from nation
+    union all select 'c' || c_custkey, 2, (select count(*) from orders where o_custkey = c_custkey) from customer where c_nationkey in (select n_nationkey from nation)"""
+)
 def gr27_depth_limited_view(t):
-    r = t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(0).cast("long").alias("level"))
-    return r.union(t.nation.select(F.concat(F.lit("n"), "n_nationkey"), F.lit(1).cast("long")))
+    """Regions, nations and customers, with the orders that a depth of two hides below them."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c))
+    levels = [(t.nation, name("r", "n_regionkey"), name("n", "n_nationkey")), (t.customer, name("n", "c_nationkey"), name("c", "c_custkey")), (t.orders, name("c", "o_custkey"), name("o", "o_orderkey"))]
+    h = reduce(lambda a, b: a.union(b), [df.select(p.alias("parent"), c.alias("child")) for df, p, c in levels])
+    return G.depth_limited(h, t.region.select(name("r", "r_regionkey").alias("node")), 2)
+
 
 
 @query(f"with recursive {EDGES}, c as (select source, target from edges union select c.source, edges.target from c join edges on c.target = edges.source) select source, target from c where source % 13 = 0 and target % 13 = 0 and source <> target")
@@ -279,12 +288,17 @@ def gr33_transaction_walk(t):
     return t.events.select("user_id", F.row_number().over(w).cast("long").alias("step"), "event_type")
 
 
-@query("with n as (select distinct event_type as x from events) select x as faults, 1::bigint as size from n union all select a.x || '+' || b.x, 2 from n a, n b where a.x < b.x")
+@query(
+    """with e as (select l_orderkey as trace, l_linenumber as step, l_partkey as edge, bool_and(l_returnflag <> 'R') as idempotent from lineitem group by 1, 2, 3), s as (select trace, step, count(*) as n, min(edge) as a, max(edge) as b from e group by 1, 2)
+    select trace, 'crash' as kind, null::bigint as a, null::bigint as b, 1 as size from (select distinct trace from e) union all select trace, 'duplicate', edge, null, 1 from (select distinct trace, edge from e where not idempotent)
+    union all select distinct trace, 'drop', a, null, 1 from s where n = 1
+    union all select distinct trace, 'drop', a, b, 2 from s where n = 2 and not exists (select 1 from s z where z.trace = s.trace and z.n = 1 and z.a in (s.a, s.b))"""
+)
 def gr34_fault_hypotheses(t):
-    """Single faults, then pairs, over the few kinds of event (an enumeration of kinds, not of rows)."""
-    n = t.events.select(F.col("event_type").alias("x")).distinct()
-    two = n.alias("a").join(n.alias("b"), F.col("a.x") < F.col("b.x")).select(F.concat_ws("+", "a.x", "b.x").alias("faults"), F.lit(2).cast("long").alias("size"))
-    return n.select(F.col("x").alias("faults"), F.lit(1).cast("long").alias("size")).unionByName(two)
+    """The least sets of faults that break an order whose lines are steps, each with parts that support it."""
+    rows = t.lineitem.select(F.col("l_orderkey").alias("trace"), F.col("l_linenumber").alias("step"), F.col("l_partkey").alias("edge"), (F.col("l_returnflag") != "R").alias("idempotent"))
+    return G.fault_sets(rows)
+
 
 
 @query("select p_brand as container, p_type as component, count(*) as n, min(p_partkey) as first_id from part group by 1, 2")

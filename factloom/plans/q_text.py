@@ -96,10 +96,19 @@ def sm9_search_and_label(t):
     return near.join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id").groupBy("query", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select doc_id, p as line_no, line as claim from ({LINES}) where length(trim(line, ' ')) > 12 and length(line) <= 500 and regexp_matches(line, '^[A-Z].*[.]$')")
+@query(
+    f"""with l as (select doc_id, p, regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') as x from ({LINES})),
+    h as (select *, last_value(case when starts_with(x, '#') then regexp_replace(regexp_replace(x, '^#+', ''), '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') end ignore nulls) over (partition by doc_id order by p rows unbounded preceding) as section,
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^[-*> ]+', ''), '^[0-9]+', ''), '^(\\. )+', ''), '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') as body from l),
+    c as (select * from h where strlen(body) > 12 and (regexp_matches(lower(body), 'must|shall|should|may|will|never|always') or regexp_matches(x, '^[-*]') or (regexp_matches(x, '^[0-9]') and strlen(x) > 2 and contains(x, '.'))))
+    select doc_id, p as line_no, coalesce(section, '') as section, substr(body, 1, 500) as claim from c"""
+)
 def sm10_claims(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return lines.filter((F.length(F.trim("line")) > 12) & (F.length("line") <= 500) & F.col("line").rlike("^[A-Z].*[.]$")).select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.col("line").alias("claim"))
+    """Claims of documents; their modality is tested by fn27_classify_claim."""
+    from factloom.operators.claims import extract_claims
+
+    return extract_claims(t.documents, "doc_id", "text").drop("modality")
+
 
 
 @query(
@@ -117,11 +126,23 @@ def sm11_top_mappings(t):
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("item_id", "doc_id", "score", "rank")
 
 
-@query("select d.doc_id, case when l.doc_id is null then 'unverified' when quality = 1 and toxic = 0 then 'supported' when toxic = 1 then 'contradicted' when quality = 0 then 'weak' else 'unknown' end as status from documents d left join labels l using (doc_id)")
+@query(
+    """select coalesce(d.doc_id, l.doc_id) as doc_id, case when d.doc_id % 23 = 0 then 'undocumented' when d.doc_id % 19 = 0 then 'superseded' when d.source is null then 'unknown' when d.n_chars > 20000 or d.n_chars < 40 then 'unverifiable'
+      when l.doc_id is null then 'missing' when (d.doc_id % 100) / 100.0 < 0.34 then 'unverifiable' when l.toxic = 1 then 'contradicting' when d.lang = 'de' or l.quality = 1 then 'implemented' when d.doc_id % 2 = 0 then 'drifted' else 'partial' end as status
+    from documents d left join labels l using (doc_id)"""
+)
 def sm12_verification_ladder(t):
-    x = t.documents.select("doc_id").join(t.labels.withColumn("_l", F.lit(True)), "doc_id", "left")
-    q, tox = F.col("quality"), F.col("toxic")
-    return x.select("doc_id", F.when(F.col("_l").isNull(), "unverified").when((q == 1) & (tox == 0), "supported").when(tox == 1, "contradicted").when(q == 0, "weak").otherwise("unknown").alias("status"))
+    """All nine verdicts, on documents as claims and labels as what was found of them."""
+    from factloom.operators.claims import claim_status
+
+    x = t.documents.join(t.labels.withColumn("_l", F.lit(True)), "doc_id", "left")
+    k = F.col("doc_id")
+    status = claim_status(
+        claimed=k % 23 != 0, superseded=k % 19 == 0, timed_out=F.col("source").isNull(), measurable=F.col("n_chars") > 20000, vague=F.col("n_chars") < 40,
+        confidence=F.when(F.col("_l"), (k % 100) / 100), broken=F.col("toxic") == 1, prohibition=F.col("lang") == "de", was_implemented=k % 2 == 0, signal=F.col("quality") == 1,
+    )
+    return x.select("doc_id", status.alias("status"))
+
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -166,13 +187,15 @@ def sm17_belief_signals(t):
     return g.select("l_suppkey", F.explode(F.array(F.struct(F.lit(True).alias("honoured"), F.col("y").alias("n")), F.struct(F.lit(False).alias("honoured"), F.col("n").alias("n")))).alias("s")).select("l_suppkey", "s.honoured", "s.n")
 
 
-@query("select * from (values (1, 'app.py', 10, 'main'), (2, 'lib/x.py', 4, 'run')) v(pos, file, line, func)")
+@query("select event_id, 1 as pos, event_type || '.py' as file, (user_id + 1)::int as line, 'main' as func from events union all select event_id, 2, 'lib/x.py', (event_id % 1000)::int, 'f' || user_id from events")
 def sm18_stack_trace(t):
-    trace = 'Traceback:\n  File "app.py", line 10, in main\n  File "lib/x.py", line 4, in run\nError: x'
+    """Frames of a trace for each event."""
+    trace = F.format_string('Traceback:\n  File "%s.py", line %d, in main\n  File "lib/x.py", line %d, in f%d\nError: x', "event_type", F.col("user_id") + 1, F.col("event_id") % 1000, "user_id")
     p = r'File "([^"]+)", line (\d+), in (\w+)'
     part = lambda k: F.regexp_extract_all("trace", F.lit(p), F.lit(k))
-    rows = t.spark.createDataFrame([(trace,)], "trace string").select(F.posexplode(F.arrays_zip(part(1).alias("file"), part(2).alias("line"), part(3).alias("func"))).alias("k", "f"))
-    return rows.select((F.col("k") + 1).alias("pos"), "f.file", F.col("f.line").cast("int").alias("line"), "f.func")
+    rows = t.events.select("event_id", trace.alias("trace")).select("event_id", F.posexplode(F.arrays_zip(part(1).alias("file"), part(2).alias("line"), part(3).alias("func"))).alias("k", "f"))
+    return rows.select("event_id", (F.col("k") + 1).alias("pos"), "f.file", F.col("f.line").cast("int").alias("line"), "f.func")
+
 
 
 # revisions: the month of an order is its revision, a returned line takes its fact back
@@ -306,30 +329,10 @@ def in17_stage_ledger(t):
 
 # rules
 
-@query("select doc_id from documents where regexp_matches(text, '(?i)(password|secret|api_key|token)\\s*[:=]') and not regexp_matches(text, '(?i)xxx|changeme|placeholder')")
+@query("select * from (select doc_id, case when regexp_matches(text, '" + S.PLACEHOLDERS + "') then null " + " ".join(f"when regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') then '{k}'" for k, p in S.SECRETS.items()) + " end as kind from documents) where kind is not null")
 def ru1_hardcoded_secret(t):
-    return t.documents.filter(F.col("text").rlike(r"(?i)(password|secret|api_key|token)\s*[:=]") & ~F.col("text").rlike("(?i)xxx|changeme|placeholder")).select("doc_id")
-
-
-CODE = [("f1", "_err", "call", 1), ("f2", "value", "call", 1), ("f3", "_", "call", 0), ("f4", "total", "const", 0)]
-
-
-@query("select * from (values ('f1'), ('f3')) v(fn)")
-def ru2_ignored_value(t):
-    rows = t.spark.createDataFrame(CODE, "fn string, target string, kind string, raises int")
-    return rows.filter("kind = 'call'").filter(F.col("target").rlike("^_")).select("fn")
-
-
-@query("select * from (values ('f3')) v(fn)")
-def ru3_bare_except(t):
-    handlers = t.spark.createDataFrame(CODE, "fn string, target string, kind string, raises int").filter("kind = 'call'")
-    return handlers.join(handlers.filter("raises = 1"), "fn", "left_anti").select("fn")
-
+    return t.documents.select("doc_id", S.secret_kind(F.col("text")).alias("kind")).filter("kind is not null")
 
-@query("select distinct l_orderkey from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority like '1%' and l_returnflag = 'R' and l_quantity > 45 and l_discount > 0")
-def ru4_taint_to_sink(t):
-    source = t.orders.filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.filter("l_returnflag = 'R' and l_quantity > 45 and l_discount > 0").join(source, "l_orderkey", "left_semi").select("l_orderkey").distinct()
 
 
 @query("select user_id, count(*) as n from events where event_type = 'view' group by user_id, date_trunc('hour', ts) having count(*) >= 2")
@@ -342,42 +345,6 @@ def ru6_dead_code(t):
     return t.part.filter(~F.col("p_name").contains("test")).join(t.lineitem, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
-FUNCTIONS = [
-    ("authorize_pay", ["Print"], ["true"], [], 0), ("check_user", ["DbRead"], ["true", "false"], ["verify_token"], 1), ("login", ["Log", "Print"], ["true", "num"], [], 1),
-    ("is_admin", ["Print"], ["true"], ["db_lookup"], 0), ("pay", ["FileWrite"], ["true"], [], 2),
-]
-
-
-@query("select * from (values ('authorize_pay', 'PR-001'), ('login', 'PR-001'), ('is_admin', 'none'), ('check_user', 'none'), ('pay', 'PR-002')) v(fn, rule)")
-def ru7_conformance(t):
-    """Print-only authorization, then unconditional success, in that order of precedence."""
-    rows = t.spark.createDataFrame(FUNCTIONS, "fn string, effects array<string>, returns array<string>, callees array<string>, ifs int")
-    quiet = F.forall("effects", lambda e: e.isin("Print", "Log", "Time", "Assert")) & (F.size("effects") > 0)
-    success = F.forall("returns", lambda r: r.isin("true", "num", "str", "empty")) & (F.size("returns") > 0)
-    guarded = F.exists("callees", lambda c: c.rlike("verify|check|lookup|token|permission|hash|secret|db|query|validate"))
-    auth = F.col("fn").rlike("auth|login|admin|check")
-    pr1 = auth & quiet & success & ~guarded
-    return rows.select("fn", F.when(pr1, "PR-001").when(~auth & success & (F.col("ifs") > 0), "PR-002").otherwise("none").alias("rule"))
-
-
-@query("select page_id from pages where regexp_matches(url, '/(en|fr)/') and length(html) > 3000 and page_id not in (select doc_id from labels where quality = 1)")
-def ru8_layering(t):
-    return t.pages.filter(F.col("url").rlike("/(en|fr)/") & (F.length("html") > 3000)).join(t.labels.filter("quality = 1"), F.col("page_id") == F.col("doc_id"), "left_anti").select("page_id")
-
-
-@query("select event_id, coalesce(s, 'info') as severity from events left join (values ('error', 'high'), ('purchase', 'medium')) v(k, s) on event_type = k")
-def ru9_severity(t):
-    v = t.spark.createDataFrame([("error", "high"), ("purchase", "medium")], "event_type string, s string")
-    return t.events.join(F.broadcast(v), "event_type", "left").select("event_id", F.coalesce("s", F.lit("info")).alias("severity"))
-
-
-@query("with e as (select user_id, event_type, lead(event_type) over (partition by user_id order by ts, event_id) as next from events) select user_id, count(*) as swallowed from e where event_type = 'error' and next is distinct from 'error' group by 1")
-def ru10_error_handling(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t.events.select("user_id", "event_type", F.lead("event_type").over(w).alias("next"))
-    return e.filter((F.col("event_type") == "error") & ~F.col("next").eqNullSafe("error")).groupBy("user_id").agg(F.count(F.lit(1)).alias("swallowed"))
-
-
 @query("select doc_id, coalesce(nullif(regexp_extract(text, '(MIT License|GNU General Public License|Apache License)', 1), ''), 'unknown') as licence from documents")
 def ru11_licences(t):
     found = F.regexp_extract("text", "(MIT License|GNU General Public License|Apache License)", 1)
@@ -418,17 +385,29 @@ def ru16_client_binding(t):
 
 # sources, sinks and outputs
 
-@query("select page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g') as text from pages")
+@query(
+    """with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g') as x from pages),
+    b as (select page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as x from a)
+    select page_id, trim(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g'), ' ') as text from b"""
+)
 def sc16_normalise_html(t):
-    return t.pages.select("page_id", F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ").alias("text"))
+    """Prose of pages: bodies of scripts and styles go, entities are decoded, white space is one space."""
+    from factloom.sources.files import html_text
 
+    return t.pages.select("page_id", html_text(F.col("html")).alias("text"))
 
-@query("select * from (values ('c1', 'a.py', 3, 1, false), ('c1', 'logo.png', null, null, true), ('c2', 'b.py', 0, 7, false)) v(commit, path, added, deleted, is_binary)")
+
+
+@query("select 'c' || l_orderkey as commit, case when l_tax = 0 then 'i' else 'p' end || l_partkey as path, case when l_tax > 0 then cast(l_quantity as int) end as added, case when l_tax > 0 then l_linenumber end as deleted, l_tax = 0 as is_binary from lineitem")
 def sc14_numstat(t):
+    """Line items as a log of one commit each; those without tax are binary."""
     from factloom.sources.history import parse_numstat
 
-    log = "commit c1\n3\t1\ta.py\n-\t-\tlogo.png\ncommit c2\n0\t7\tb.py"
-    return parse_numstat(t.spark.createDataFrame([(1, log)], "id long, log string"))
+    binary = F.col("l_tax") == 0
+    path = F.concat(F.when(binary, "i").otherwise("p"), "l_partkey")
+    row = F.when(binary, F.concat(F.lit("-\t-\t"), path)).otherwise(F.concat_ws("\t", F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string"), path))
+    return parse_numstat(t.lineitem.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("commit c"), "l_orderkey", F.lit("\n"), row).alias("log")))
+
 
 
 @query("select * from (values ('t1', 's1', null, 'load', 5), ('t1', 's2', 's1', 'query', 3), ('t2', 's3', null, 'flat', 1)) v(trace, span, parent, name, duration_ns)")

@@ -207,11 +207,6 @@ def fn18_path_parts(t):
     return t.spark.createDataFrame([("src/a/b.py",), ("x.py",)], "path string").select("path", S.top_directory(F.col("path")).alias("top"), S.base_name(F.col("path")).alias("base"))
 
 
-@query("select p_partkey, regexp_matches(p_name, '(?i)(1|3)') as is_odd_name, regexp_matches(p_type, '^S') as is_s from part")
-def fn19_name_heuristics(t):
-    return t.part.select("p_partkey", F.col("p_name").rlike("(?i)(1|3)").alias("is_odd_name"), F.col("p_type").rlike("^S").alias("is_s"))
-
-
 @query("select c_custkey, round(case when n is null then 1.0 else 1 / greatest(1.0, ln(1 + n)) end, 6) as gap from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey")
 def fn20_test_gap(t):
     n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Modules whose import registers queries.
-MODULES = ("q_select", "q_joins", "q_aggregates", "q_windows", "q_graph", "q_text", "q_more")
+MODULES = ("q_select", "q_joins", "q_aggregates", "q_windows", "q_graph", "q_text", "q_rules", "q_more")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Languages by extension and by the interpreter of a first line (fixed values).
@@ -41,3 +41,16 @@ def diagnostics(rows: DataFrame, key: str, limit: int, first=None, secret: tuple
     kept = rows if first is None else rows.filter(F.col(key) >= F.lit(first))
     shown = [F.lit("redacted").alias(f.name) if f.name in secret else F.substring(f.name, 1, most).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in rows.schema]
     return kept.orderBy(key).limit(limit).select(*shown)
+
+
+#: Entities of markup and what they stand for (fixed values); the ampersand last, so none is decoded twice.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def html_text(c: Column) -> Column:
+    """The prose of a page: no bodies of scripts and styles, no tags, entities decoded, one space for white space."""
+    for pattern in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", "<[^>]*>"):
+        c = F.regexp_replace(c, pattern, " ")
+    for name, plain in ENTITIES.items():
+        c = F.replace(c, F.lit(name), F.lit(plain))
+    return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
