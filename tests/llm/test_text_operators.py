@@ -83,6 +83,34 @@ def test_every_similar_pair_shares_enough_signatures():
         assert any(sum(i == inst for i, _ in shared) >= max(1, need[0][inst], need[1][inst]) for inst in need[0].keys() & need[1].keys())
 
 
+def test_signatures_of_many_buckets_go_in_few_batches(monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Docs:
+        mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", Task)
+    texts = near_copies(5)
+    given = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_text": texts})
+    found = {}
+    for buckets in (4, 4000):
+        batches = list(ngram_join._signed(Docs(), 5, ngram_join.Bands(75, 100), buckets)(iter([given])))
+        rows = pa.Table.from_batches(batches)
+        names = rows.column("bucket").to_pylist()
+        assert max(names) < buckets and len(batches) <= 3  # descriptions, frequent signatures, the others
+        pairs = {}
+        for p in set(names):
+            for r in ngram_join._grouped(rows.filter(pa.array([x == p for x in names]))).to_pylist():
+                key = tuple(r[c] for c in ("kind", "inst", "sig", "a", "b", "doc"))
+                pairs[key] = pairs.get(key, 0) + (r["n"] or 1)
+        found[buckets] = pairs
+    assert found[4] == found[4000] and {k[0] for k in found[4]} == {0, 1, 2}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 50), (50, 75), (75, 100), (3, 3), (200, 201)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
