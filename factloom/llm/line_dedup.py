@@ -81,7 +81,7 @@ class LineRuns:
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
         path = common.scratch_path(self.spark, name)
-        keys.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
+        keys.write.options(**common.PLAIN).bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
         return name
 
     def _compact(self) -> None:
@@ -108,8 +108,8 @@ class LineRuns:
         """Take batch (_id, _text), all of whose ids are above those before; returns drops (_id, _drops), written to the shared folder."""
         return self.add_keys(common.saved(_keys(batch.select("_id", "_text", F.lit(0).alias("_batch"))), "line-rows"))
 
-    def add_keys(self, rows: DataFrame) -> DataFrame:
-        """As add(), from the batch's keys (k1, k2, docs) in a written table."""
+    def add_keys(self, rows: DataFrame, last: bool = False) -> DataFrame:
+        """As add(), from the batch's keys (k1, k2, docs) in a written table. No run is made of the last batch: none would read it."""
         keys = rows.groupBy("k1", "k2").agg(F.min(F.array_min("docs")).alias("first"), F.max(F.array_max("docs")).alias("last"), F.sum(F.size("docs")).alias("holders"))
         keys = keys.repartition(self.buckets, "k1", "k2")
         owners = []
@@ -118,7 +118,8 @@ class LineRuns:
             owners.append(F.col(f"owner{k}"))
         before = F.coalesce(*owners, F.lit(None).cast("long"))
         known = common.saved(keys.select("k1", "k2", before.alias("before"), F.coalesce(before, "first").alias("owner"), "last", "holders"), "line-keys")
-        run = self._write(known.filter("before is null").select("k1", "k2", "owner").repartition(self.buckets, "k1", "k2"))
+        if not last:
+            self.levels[0].append(self._write(known.filter("before is null").select("k1", "k2", "owner").repartition(self.buckets, "k1", "k2")))
         most = (known.agg(F.sum("holders")).first()[0] or 0) // HOT
         repeated = known.filter("last > owner").select("k1", "k2", "owner", "holders")
         # a hot key's holders stay where they are: fewer than HOT keys have more than that share of all, so the broadcast is bounded
@@ -127,8 +128,8 @@ class LineRuns:
         both = cold if hot is None else cold.unionByName(hot)
         held = both.select("k1", "k2", "owner", F.explode("docs").alias("_id")).filter("_id <> owner")
         drops = common.saved(held.select("_id", "k1", "k2").groupBy("_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops")), "line-drops")
-        self.levels[0].append(run)
-        self._compact()
+        if not last:
+            self._compact()
         return drops
 
     def close(self) -> None:
@@ -155,10 +156,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs, parts = LineRuns(spark, common.spread(spark)), []
     number = sum(((F.col("_id") > c).cast("int") for c in cuts), F.lit(0))
     path = common.scratch_path(spark, "line-rows")
-    _keys(rows.withColumn("_batch", number)).write.partitionBy("batch").parquet(path)
+    _keys(rows.withColumn("_batch", number)).write.options(**common.PLAIN).partitionBy("batch").parquet(path)
     dealt = spark.read.schema("k1 long, k2 long, docs array<long>, batch int").parquet(path)
     for k in range(len(cuts) + 1):
-        parts.append(runs.add_keys(dealt.filter(F.col("batch") == k).drop("batch")))
+        parts.append(runs.add_keys(dealt.filter(F.col("batch") == k).drop("batch"), last=k == len(cuts)))
     runs.close()
     drops = parts[0]
     for part in parts[1:]:

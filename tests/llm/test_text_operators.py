@@ -1,6 +1,7 @@
 """N-gram join, decontamination, line dedup, language ID and nearest neighbours against brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -200,6 +201,22 @@ def test_line_runs_compact(spark):
     runs.close()
 
 
+def test_line_runs_are_all_read(spark, monkeypatch):
+    sizes, write = [], line_dedup.LineRuns._write
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", lambda self, keys: sizes.append(len(self.levels[0])) or write(self, keys))
+    rows = [(k, f"its own line number {k}\nshared by two of them {k // 2}\nin all the documents") for k in range(40)]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == [(r["doc_id"], r["text"]) for r in brute_lines([{"doc_id": k, "text": t} for k, t in rows])]
+    assert len(sizes) == 4  # of three batches, the last one's aside, and the first two merged
+
+
+def test_scratch_tables_have_no_checksum_files(spark):
+    from factloom.sources.scratch import cut
+
+    path = cut(spark.range(100).repartition(4)).inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert spark.read.parquet(path).count() == 100 and not [x for x in os.listdir(path) if x.endswith(".parquet.crc")]
+
+
 def test_language_gradients():
     rng = np.random.default_rng(0)
     net = language_id.Network.new(["a", "b", "c"], rng)
