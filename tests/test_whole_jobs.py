@@ -87,3 +87,49 @@ def test_post_dominators_of_all_orders(spark, tmp_path):
     edges = [(o, n % 4, n % 4 + 1 + s % 3) for o, n, s in rows]
     want = {tuple(r) for r in flow.control_dependence(spark.createDataFrame(edges, "function long, source long, target long")).collect()}
     assert got == want and {r[0] for r in got} == {5, 199, 200, 70_000}
+
+
+def reached(edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for a in after:
+        todo = [*after[a]]
+        while todo:
+            b = todo.pop()
+            if (a, b) not in out:
+                out.add((a, b))
+                todo += after.get(b, ())
+    return out
+
+
+@pytest.mark.parametrize(("seed", "held", "kind"), [(1, 1 << 22, int), (2, 1 << 22, str), (3, 3, int)])
+def test_reachable_by_blocks(spark, monkeypatch, seed, held, kind):
+    monkeypatch.setattr(G, "HELD", held)
+    monkeypatch.setattr(G, "BITS", 40)
+    monkeypatch.setattr(G, "BLOCK", 3)
+    rng = random.Random(seed)
+    edges = {(kind(a), kind(a + rng.choice([-9, 1, 2, 5, 60]))) for a in (rng.randrange(100) for _ in range(90))}
+    df = spark.createDataFrame(sorted(edges), f"source {'long' if kind is int else 'string'}, target {'long' if kind is int else 'string'}")
+    got = [tuple(r) for r in G.reachable(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == reached(edges)
+    some = [tuple(r) for r in G.reachable(df, "source % 3 = 0", "target % 2 = 0").collect()]
+    assert sorted(some) == sorted((a, b) for a, b in got if int(a) % 3 == 0 and int(b) % 2 == 0)
+
+
+def test_closure_keeps_its_pairs_where_they_are(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(G, "cut", lambda df, what="cut", plain=G.cut: written.append(plain(df, what)) or written[-1])
+    got, state = G.closure(spark.range(200).selectExpr("id as source", "id + 1 as target"))
+    assert got.count() == 201 * 200 // 2 and state == "exact"
+    assert max(df.count() for df in written) <= 2 * 200 + 2
+
+
+def test_extremes_of_cycles(spark):
+    nan = float("nan")
+    edges = [(1, 2), (2, 3), (3, 2), (3, 4), (5, 6), (8, 8), (9, 1)]
+    values = [(1, 5.0), (2, nan), (3, None), (4, -1.0), (5, None), (6, None), (7, 2.0), (8, 3.0), (9, 9.0), (9, -8.0)]
+    got = G.extremes(spark.createDataFrame(edges, "source long, target long"), spark.createDataFrame(values, "node long, value double"))
+    got = {r.node: (r.low, str(r.high)) for r in got.collect()}
+    assert got == {1: (-1.0, "nan"), 2: (-1.0, "nan"), 3: (-1.0, "nan"), 4: (-1.0, "-1.0"), 5: (None, "None"), 6: (None, "None"), 7: (2.0, "2.0"), 8: (3.0, "3.0"), 9: (-8.0, "nan")}
