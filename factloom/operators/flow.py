@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Distinct graphs whose results a task keeps before it starts anew.
+KNOWN = 100_000
 
 
 def control_dependence(edges: DataFrame) -> DataFrame:
-    """(function, node, depends_on) of flow graphs (function, source, target), one group a function.
+    """(function, node, depends_on) of flow graphs (function, source, target).
 
     A node without successor leads to the exit. Post-dominator sets shrink to
     their fixpoint; node n depends on a branch b if n post-dominates a successor of b, or is it, but not b.
+    A function's edges are gathered as text; a task works out each distinct graph once and gives batches of functions their rows.
     """
 
-    def run(pdf):
-        import pandas as pd
-
-        function = pdf["function"].iloc[0]
+    def depends(text):
         after: dict[int, set[int]] = {}
-        for a, b in zip(pdf["source"], pdf["target"], strict=True):
-            after.setdefault(int(a), set()).add(int(b))
-            after.setdefault(int(b), set())
-        nodes, leave = sorted(after), -1
+        for edge in text.split(";"):
+            a, b = map(int, edge.split(","))
+            after.setdefault(a, set()).add(b)
+            after.setdefault(b, set())
+        nodes, leave = sorted(after), object()
         after = {n: s or {leave} for n, s in after.items()} | {leave: set()}
         post = {n: {*nodes, leave} for n in nodes} | {leave: {leave}}
         changed = True
@@ -30,11 +33,35 @@ def control_dependence(edges: DataFrame) -> DataFrame:
                 new = {n} | set.intersection(*(post[s] for s in after[n]))
                 if new != post[n]:
                     post[n], changed = new, True
-        rows = {(n, b) for b in nodes if len(after[b]) > 1 for s in after[b] for n in post[s] if n != leave and (n == b or n not in post[b])}
-        return pd.DataFrame([(function, n, b) for n, b in sorted(rows)], columns=["function", "node", "depends_on"])
+        return sorted({(n, b) for b in nodes if len(after[b]) > 1 for s in after[b] for n in post[s] if n is not leave and (n == b or n not in post[b])})
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known: dict[str, np.ndarray] = {}
+        for b in batches:
+            coded = pc.dictionary_encode(b.column(1))
+            if len(known) >= KNOWN:
+                known = {}
+            rows = []
+            for text in coded.dictionary.to_pylist():
+                if text not in known:
+                    known[text] = np.array(depends(text), np.int64).reshape(-1, 2)
+                rows.append(known[text])
+            code, size = coded.indices.to_numpy(), np.array([len(r) for r in rows], np.int64)
+            mine = size[code]
+            first = (np.cumsum(size) - size)[code] - (np.cumsum(mine) - mine)
+            pairs = np.concatenate(rows)[np.repeat(first, mine) + np.arange(mine.sum())]
+            function = b.column(0).take(pa.array(np.repeat(np.arange(len(b)), mine)))
+            yield pa.RecordBatch.from_arrays([function, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["function", "node", "depends_on"])
 
-    source = edges.selectExpr("cast(function as long) function", "cast(source as long) source", "cast(target as long) target")
-    return source.groupBy("function").applyInPandas(run, "function long, node long, depends_on long")
+    # an end that is missing is an error, as text that is no number
+    end = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("none"))
+    rows = edges.select(F.col("function").cast("long").alias("function"), F.concat(end("source"), F.lit(","), end("target")).alias("edge"))
+    graphs = rows.groupBy("function").agg(F.array_join(F.array_sort(F.collect_set("edge")), ";").alias("graph"))
+    return graphs.mapInArrow(run, "function long, node long, depends_on long")
 
 
 def concepts(context: DataFrame, most_objects: int = 2000) -> DataFrame:

@@ -133,3 +133,14 @@ def test_extremes_of_cycles(spark):
     got = G.extremes(spark.createDataFrame(edges, "source long, target long"), spark.createDataFrame(values, "node long, value double"))
     got = {r.node: (r.low, str(r.high)) for r in got.collect()}
     assert got == {1: (-1.0, "nan"), 2: (-1.0, "nan"), 3: (-1.0, "nan"), 4: (-1.0, "-1.0"), 5: (None, "None"), 6: (None, "None"), 7: (2.0, "2.0"), 8: (3.0, "3.0"), 9: (-8.0, "nan")}
+
+
+def test_control_dependence_by_graph(spark):
+    """Functions of one graph share its result: no group of rows goes to Python for each."""
+    shapes = [[(1, 2), (1, 3), (2, 4), (3, 4)], [(1, 2), (2, 1), (2, 3)], [(-1, 5), (-1, 6), (5, 7)]]
+    edges = spark.createDataFrame([(k, a, b) for k in range(300) for a, b in shapes[k % 3]], "function long, source long, target long")
+    out = flow.control_dependence(edges.union(edges))
+    got = [tuple(r) for r in out.collect()]
+    want = [{(2, 1), (3, 1)}, {(1, 2), (2, 2)}, {(5, -1), (6, -1), (7, -1)}]
+    assert len(got) == len(set(got)) and set(got) == {(k, n, b) for k in range(300) for n, b in want[k % 3]}
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
