@@ -135,6 +135,17 @@ def test_extremes_of_cycles(spark):
     assert got == {1: (-1.0, "nan"), 2: (-1.0, "nan"), 3: (-1.0, "nan"), 4: (-1.0, "-1.0"), 5: (None, "None"), 6: (None, "None"), 7: (2.0, "2.0"), 8: (3.0, "3.0"), 9: (-8.0, "nan")}
 
 
+@pytest.mark.parametrize("held", [4, 12, 1000])
+def test_cover_by_components(spark, monkeypatch, held):
+    rng = random.Random(held)
+    monkeypatch.setattr(G, "SMALL_COVER", held)
+    covers = {k: {100 * (k % 5) + rng.randrange(20) for _ in range(rng.choice([1, 3, 8]))} for k in range(40)}
+    rounds = []
+    monkeypatch.setattr(G, "_picked_in_rounds", lambda left, plain=G._picked_in_rounds: rounds.append(left) or plain(left))
+    got = G.greedy_cover(spark.createDataFrame([(k, i) for k, v in covers.items() for i in v], "chooser long, item long"))
+    assert [tuple(r) for r in got.collect()] == greedy(covers) and bool(rounds) == (held < 1000)
+
+
 def test_control_dependence_by_graph(spark):
     """Functions of one graph share its result: no group of rows goes to Python for each."""
     shapes = [[(1, 2), (1, 3), (2, 4), (3, 4)], [(1, 2), (2, 1), (2, 3)], [(-1, 5), (-1, 6), (5, 7)]]
